@@ -15,8 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import read, text_of
 
@@ -96,8 +98,13 @@ def vote(model: dict, x: np.ndarray, neighbours: int, power: float) -> np.ndarra
     return np.clip((weight * model["labels"][near]).sum(1) / weight.sum(1), 0, 1)
 
 
-def score(docs: DataFrame, model: dict, neighbours: int = 15, power: float = 16.0, block: int = 256) -> DataFrame:
-    """doc_id and score of every row. Null and empty texts are scored as empty; a null doc_id stays; no rows, no rows."""
+def score(docs: DataFrame, model: dict, neighbours: int = 15, power: float = 16.0, block: int = 256, keep: list[str] | None = None) -> DataFrame:
+    """doc_id (or the columns ``keep`` of docs) and score of every row.
+
+    Null and empty texts are scored as empty; a null doc_id stays; other columns are ignored; no rows give no rows.
+    """
+    if keep is not None:
+        return _score_keeping(docs, model, neighbours, power, block, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,6 +116,20 @@ def score(docs: DataFrame, model: dict, neighbours: int = 15, power: float = 16.
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, score double")
 
 
+def _score_keeping(docs: DataFrame, model: dict, neighbours: int, power: float, block: int, keep: list[str]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, block):
+                part = batch.slice(a, block)
+                x = np.stack([terms(t.as_py() or "") for t in part.column("text")])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vote(shared.value, x, neighbours, power))], [*part.schema.names, "score"])
+
+    rows = docs.select(*keep)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+
+
 def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
