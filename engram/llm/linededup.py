@@ -22,15 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, read, text_of, words
+from .common import materialize, read, text_of, words
 
 CELLS = 1 << 18
 NEAR = (4, 5)
 
 
+def _spaced(text: Column) -> Column:
+    """``text`` with all ASCII white space as spaces, as splitting at one plain character is much cheaper than at a pattern."""
+    return F.translate(text, "\t\n\v\f\r", "     ")
+
+
 def rarity_classes(docs: DataFrame) -> Column:
     """An array of ``CELLS`` classes, each twice the binary logarithm of how many words of ``docs`` (text) fell in that cell."""
-    found = docs.select(F.explode(F.split("text", SPACE)).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("cell")).groupBy("cell")
+    found = docs.select(F.explode(F.split(_spaced(F.col("text")), " ")).alias("w")).where("w <> ''").select(F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("cell")).groupBy("cell")
     classes = [0] * CELLS
     for cell, kind in found.agg(F.floor(2 * F.log2(F.count("*") + 1)).cast("int").alias("kind")).collect():
         classes[cell] = min(63, kind)
@@ -42,10 +47,10 @@ def _line_sets(held: DataFrame, near: tuple[int, int]) -> DataFrame:
     num, den = near
     classes = rarity_classes(held)
     low = F.lit((1 << 57) - 1)
-    lines = held.select("key", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("tokens", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))).where(F.size("tokens") > 0)
+    lines = held.select("key", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim(_spaced(F.col("line"))) != "")
     rank = lambda h: F.shiftleft(F.element_at(classes, (F.pmod(h, F.lit(CELLS)) + 1).cast("int")).cast("long"), 57).bitwiseOR(h.bitwiseAND(low))
-    lines = lines.select("key", "row", "line_no", F.sort_array(F.transform("tokens", rank)).alias("tokens"))
+    found = F.array_distinct(F.transform(F.split(_spaced(F.col("line")), " "), lambda w: F.when(w == "", F.lit(-1).cast("long")).otherwise(rank(F.xxhash64(w)))))
+    lines = lines.select("key", "row", "line_no", F.sort_array(F.array_remove(found, -1)).alias("tokens"))
     flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
     n = F.size("tokens")
     return lines.select(
