@@ -90,7 +90,8 @@ def links(fps: DataFrame) -> DataFrame:
     met = balls[0].unionByName(balls[1]).unionByName(balls[2]).select("fp", "v.at", "v.close")
     # Only places where at least two meet, one of them close, are of use; hubs are the least close fingerprints.
     hubs = materialize(met.groupBy("at").agg(F.count("*").alias("n"), F.min(F.when(F.col("close"), F.col("fp"))).alias("hub")).where("n > 1 and hub is not null").select("at", "hub"), "simhash-hubs")
-    return met.join(hubs, "at").where("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    # Sizes are estimated before explode, so without the hint the variants could be broadcast.
+    return met.join(hubs.hint("merge"), "at").where("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
