@@ -60,18 +60,28 @@ def _line_sets(held: DataFrame, near: tuple[int, int]) -> DataFrame:
     )
 
 
+def _unpacked(shape: Column) -> tuple[Column, Column]:
+    """A set's size and the prefix word's place, which travel as one number."""
+    return F.shiftright(shape, 24), shape.bitwiseAND(F.lit((1 << 24) - 1))
+
+
+def _indexed(n: Column, at: Column, near: tuple[int, int]) -> Column:
+    """Whether a place is in the prefix that a set needs towards larger ones."""
+    num, den = near
+    return at * (den + num) <= n * (den - num)
+
+
 def _similar(a: str, b: str, near: tuple[int, int]) -> Column:
-    """Whether rows ``a`` and ``b`` that share a prefix word, ``b`` the earlier, pass all filters."""
+    """Whether rows ``a`` and ``b`` that share a prefix word pass all filters, ``b`` in no later document."""
     num, den = near
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    small, large = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
-    earlier = F.struct(y("key"), y("row"), y("line_no")) < F.struct(x("key"), x("row"), x("line_no"))
-    most = F.least(x("at"), y("at")) + 1 + F.least(x("n") - x("at"), y("n") - y("at")) - 1
-    indexed = F.when(x("n") < y("n"), x("indexed")).when(x("n") > y("n"), y("indexed")).otherwise(x("indexed") & y("indexed"))
+    (n, at), (m, to) = _unpacked(x("shape")), _unpacked(y("shape"))
+    most = F.least(at, to) + F.least(n - at, m - to)
+    indexed = F.when(n < m, _indexed(n, at, near)).when(n > m, _indexed(m, to, near)).otherwise(_indexed(n, at, near) & _indexed(m, to, near))
     differ = F.bit_count(x("sketch").bitwiseXOR(y("sketch")))
     return (
-        (x("word") == y("word")) & (x("id") != y("id")) & (differ * (num + den) <= (x("n") + y("n")) * (den - num))
-        & (small * den >= large * num) & (most * (num + den) >= (x("n") + y("n")) * num) & indexed & earlier
+        (x("word") == y("word")) & (x("id") != y("id")) & (y("key") <= x("key")) & (differ * (num + den) <= (n + m) * (den - num))
+        & (F.least(n, m) * den >= F.greatest(n, m) * num) & (most * (num + den) >= (n + m) * num) & indexed
     )
 
 
@@ -79,11 +89,12 @@ def _verified(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[in
     """(id) of the later sets of ``pairs`` (later, earlier) whose lines are similar."""
     num, den = near
     ids = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
-    places = sets.join(ids, "id").groupBy("row").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
-    lines = held.join(places, "row").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
-    texts = lines.select("p.id", F.array_distinct(words(F.element_at("lines", F.col("p.line_no") + 1))).alias("words")).dropDuplicates(["id"])
+    places = sets.join(ids, "id").groupBy("key", "row").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
+    lines = held.drop("key").join(places, "row").select("key", "row", F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
+    texts = lines.select("p.id", F.struct("key", "row", "p.line_no").alias("place"), F.array_distinct(words(F.element_at("lines", F.col("p.line_no") + 1))).alias("words")).dropDuplicates(["id"])
     texts = materialize(texts, "line-texts")
-    both = pairs.join(texts.select(F.col("id").alias("later"), F.col("words").alias("a")), "later").join(texts.select(F.col("id").alias("earlier"), F.col("words").alias("b")), "earlier")
+    both = pairs.join(texts.select(F.col("id").alias("later"), F.col("place").alias("at"), F.col("words").alias("a")), "later")
+    both = both.join(texts.select(F.col("id").alias("earlier"), F.col("place").alias("before"), F.col("words").alias("b")), "earlier").where("before < at")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(common * (num + den) >= (F.size("a") + F.size("b")) * num).select(F.col("later").alias("id")).distinct()
 
@@ -91,9 +102,9 @@ def _verified(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[in
 def matched_sets(held: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFrame:
     """(id) of the sets to which an earlier, different one is similar."""
     num, den = near
-    prefix = sets.where(F.col("n") * num >= (den - num) * den - den + num + 1).select("id", "n", "sketch", "key", "row", "line_no", F.posexplode("prefix").alias("at", "word"))
-    prefix = prefix.withColumn("indexed", F.col("at") <= F.floor(F.col("n") * (den - num) / (den + num)))
-    shared = prefix.groupBy("word").agg(F.count("*").alias("rows"), F.max("indexed").alias("any"), F.min("key").alias("hub")).where("rows > 1 and any").select("word", "hub")
+    prefix = sets.where(F.col("n") * num >= (den - num) * den - den + num + 1).select("id", "n", "sketch", "key", F.posexplode("prefix").alias("at", "word"))
+    prefix = prefix.select("word", "id", "sketch", "key", (F.shiftleft(F.col("n").cast("long"), 24) + F.col("at")).alias("shape"))
+    shared = prefix.groupBy("word").agg(F.count("*").alias("rows"), F.max(_indexed(*_unpacked(F.col("shape")), near)).alias("any"), F.min("key").alias("hub")).where("rows > 1 and any").select("word", "hub")
     group = materialize(prefix.join(shared, "word"), "line-prefixes")
     pairs = lambda a, b: a.alias("a").join(b.alias("b"), _similar("a", "b", near)).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
     first = materialize(pairs(group, group.where("key = hub")), "line-pairs")
