@@ -111,10 +111,10 @@ penal as (select request_id, id, type, importance, confidence, updated_at, creat
 FITS_QUOTA = "(len(f.ids) < 10 and f.used + n.bytes <= 8192 and len(list_filter(f.types, lambda x: x = n.type)) < case n.type when 'policy' then 3 when 'workflow' then 3 when 'pitfall' then 2 else 1 end)"
 
 
-@query(f"with {M}, {R}, {CAND}, {PENAL} select request_id, id, round(score, 9) as score from penal")
+@query(f"with {M}, {R}, {CAND}, {PENAL} select request_id, id, round(score, 13) as score from penal")
 def prefix_penalty(spark, sf):
     rows = selection.candidates(src.memories(spark, sf), src.requests(spark), AS_OF)
-    return selection.penalise_prefix(rows).select("request_id", "id", F.round("score", 9).alias("score"))
+    return selection.penalise_prefix(rows).select("request_id", "id", F.round("score", 13).alias("score"))
 
 
 @query(f"with recursive {M}, {R}, {CAND}, {PENAL}, {FOLD.format(order=ORDER, rows='penal', ok=FITS_QUOTA)} select request_id, id, rank from final")
