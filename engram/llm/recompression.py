@@ -224,7 +224,7 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
 
 
-def dedup_substrings(docs: DataFrame, width: int = 35, block_chars: int = 1 << 24) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = 35, block_chars: int = 1 << 21) -> DataFrame:
     """Remove every word covered by a ``width``-word window that also starts anywhere else in ``docs`` (doc_id, text).
 
     Returns doc_id, n_words, n_removed, kept_sha256 and ``removed`` (array of removed word stretches, start and end). Windows
