@@ -13,33 +13,47 @@ similarity of at least ``near[0] / near[1]``. Lines with the same set are settle
   could differ in words, the pair is dropped. It never drops a similar pair.
 * verification: the Jaccard similarity of the whole lines, read again from the documents.
 
-A group of lines with a common word isn't listed pair by pair. First each member meets the lines of the group's first document;
-members that match one are settled. Only the others meet the whole group, and only pairs that pass all filters leave the join.
+Groups of many similar lines aren't listed pair by pair. First each set meets the earliest set that shares two neighbouring
+prefix words with it; sets that are similar to that one are settled. Only the others meet all sets with a common prefix word, and
+only pairs that pass all filters leave the join. That join is done in ``SLICES`` parts of the words, so its shuffles never hold
+more than a part of the prefixes at once, and tables are deleted once nothing reads them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_of, words
+from .common import discard, materialize, read, text_of, words
 
 CELLS = 1 << 18
 NEAR = (4, 5)
+SLICES = 8
+#: Neighbouring prefix words that a set is settled by, and the mark of settled sets.
+SETTLING = 3
+SETTLED = 1 << 62
+BLANK = " \t\n\v\f\r"
 
 
 def _spaced(text: Column) -> Column:
     """``text`` with all ASCII white space as spaces, as splitting at one plain character is much cheaper than at a pattern."""
-    return F.translate(text, "\t\n\v\f\r", "     ")
+    odd = text.contains("\t") | text.contains("\v") | text.contains("\f") | text.contains("\r")
+    return F.when(odd, F.translate(text, BLANK[1:], "     ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
+
+
+def _cell(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
 def rarity_classes(docs: DataFrame) -> Column:
-    """An array of ``CELLS`` classes, each twice the binary logarithm of how many words of ``docs`` (text) fell in that cell."""
-    found = docs.select(F.explode(F.split(_spaced(F.col("text")), " ")).alias("w")).where("w <> ''").select(F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("cell")).groupBy("cell")
+    """An array of ``CELLS`` classes in the upper bits of a number, each twice the binary logarithm of how many words of ``docs`` (text) fell in that cell."""
+    found = docs.select(F.explode(F.split(_spaced(F.col("text")), " ")).alias("w")).where("w <> ''").select(_cell(F.xxhash64("w")).alias("cell")).groupBy("cell")
     classes = [0] * CELLS
     for cell, kind in found.agg(F.floor(2 * F.log2(F.count("*") + 1)).cast("int").alias("kind")).collect():
-        classes[cell] = min(63, kind)
-    return F.from_json(F.lit(f"[{','.join(map(str, classes))}]"), "array<int>")
+        classes[cell] = min(63, kind) << 57
+    return F.from_json(F.lit(f"[{','.join(map(str, classes))}]"), "array<bigint>")
 
 
 def _line_sets(held: DataFrame, near: tuple[int, int]) -> DataFrame:
@@ -47,10 +61,10 @@ def _line_sets(held: DataFrame, near: tuple[int, int]) -> DataFrame:
     num, den = near
     classes = rarity_classes(held)
     low = F.lit((1 << 57) - 1)
-    lines = held.select("key", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim(_spaced(F.col("line"))) != "")
-    rank = lambda h: F.shiftleft(F.element_at(classes, (F.pmod(h, F.lit(CELLS)) + 1).cast("int")).cast("long"), 57).bitwiseOR(h.bitwiseAND(low))
-    found = F.array_distinct(F.transform(F.split(_spaced(F.col("line")), " "), lambda w: F.when(w == "", F.lit(-1).cast("long")).otherwise(rank(F.xxhash64(w)))))
-    lines = lines.select("key", "row", "line_no", F.sort_array(F.array_remove(found, -1)).alias("tokens"))
+    lines = held.select("key", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(BLANK)) != "")
+    found = F.array_distinct(F.transform(F.array_remove(F.split(_spaced(F.col("line")), " "), ""), lambda w: F.xxhash64(w)))
+    rank = lambda h: F.get(classes, _cell(h)).bitwiseOR(h.bitwiseAND(low))
+    lines = lines.select("key", "row", "line_no", F.sort_array(F.transform(found, rank)).alias("tokens"))
     flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
     n = F.size("tokens")
     return lines.select(
@@ -71,18 +85,26 @@ def _indexed(n: Column, at: Column, near: tuple[int, int]) -> Column:
     return at * (den + num) <= n * (den - num)
 
 
-def _similar(a: str, b: str, near: tuple[int, int]) -> Column:
-    """Whether rows ``a`` and ``b`` that share a prefix word pass all filters, ``b`` in no later document."""
+def _alike(a: str, b: str, n: Column, m: Column, near: tuple[int, int]) -> Column:
+    """Whether the sizes and sketches of two sets allow the similarity, ``b`` being in no later document."""
     num, den = near
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    (n, at), (m, to) = _unpacked(x("shape")), _unpacked(y("shape"))
+    differ = F.bit_count(x("sketch").bitwiseXOR(y("sketch")))
+    size = (F.least(n, m) * den >= F.greatest(n, m) * num) & (differ * (num + den) <= (n + m) * (den - num))
+    return (x("word") == y("word")) & (x("id") != y("id")) & (y("key") <= x("key")) & size
+
+
+def _similar(a: str, b: str, near: tuple[int, int]) -> Column:
+    """Whether rows ``a`` and ``b`` that share a prefix word pass all filters.
+
+    The mark of a settled ``a`` stays in its size, so it fails the length filter. (A filter of ``a`` alone would go below the
+    exchange, and both sides would be shuffled instead of one.)
+    """
+    num, den = near
+    (n, at), (m, to) = _unpacked(F.col(f"{a}.shape")), _unpacked(F.col(f"{b}.shape").bitwiseAND(F.lit(SETTLED - 1)))
     most = F.least(at, to) + F.least(n - at, m - to)
     indexed = F.when(n < m, _indexed(n, at, near)).when(n > m, _indexed(m, to, near)).otherwise(_indexed(n, at, near) & _indexed(m, to, near))
-    differ = F.bit_count(x("sketch").bitwiseXOR(y("sketch")))
-    return (
-        (x("word") == y("word")) & (x("id") != y("id")) & (y("key") <= x("key")) & (differ * (num + den) <= (n + m) * (den - num))
-        & (F.least(n, m) * den >= F.greatest(n, m) * num) & (most * (num + den) >= (n + m) * num) & indexed
-    )
+    return _alike(a, b, n, m, near) & (most * (num + den) >= (n + m) * num) & indexed
 
 
 def _verified(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[int, int]) -> DataFrame:
@@ -99,19 +121,33 @@ def _verified(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[in
     return both.where(common * (num + den) >= (F.size("a") + F.size("b")) * num).select(F.col("later").alias("id")).distinct()
 
 
-def matched_sets(held: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """(id) of the sets to which an earlier, different one is similar."""
+def _pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
+    return a.alias("a").join(b.alias("b"), on).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
+
+
+def matched_sets(held: DataFrame, sets: DataFrame, near: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(id) of the sets to which an earlier, different one is similar, and ``sets`` without prefixes. ``sets`` is used up."""
     num, den = near
-    prefix = sets.where(F.col("n") * num >= (den - num) * den - den + num + 1).select("id", "n", "sketch", "key", F.posexplode("prefix").alias("at", "word"))
-    prefix = prefix.select("word", "id", "sketch", "key", (F.shiftleft(F.col("n").cast("long"), 24) + F.col("at")).alias("shape"))
-    shared = prefix.groupBy("word").agg(F.count("*").alias("rows"), F.max(_indexed(*_unpacked(F.col("shape")), near)).alias("any"), F.min("key").alias("hub")).where("rows > 1 and any").select("word", "hub")
-    group = materialize(prefix.join(shared, "word"), "line-prefixes")
-    pairs = lambda a, b: a.alias("a").join(b.alias("b"), _similar("a", "b", near)).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
-    first = materialize(pairs(group, group.where("key = hub")), "line-pairs")
+    able = sets.where(F.col("n") * num >= (den - num) * den - den + num + 1)
+    neighbours = F.transform(F.sequence(F.lit(1), F.greatest(F.size("prefix") - 1, F.lit(1))), lambda i: F.xxhash64(F.slice("prefix", i, 2)))
+    own = able.select("id", "n", "sketch", "key", F.explode(F.slice(F.sort_array(F.array_distinct(neighbours)), 1, SETTLING)).alias("word"))
+    hubs = own.groupBy("word").agg(F.count("*").alias("rows"), F.min(F.struct("key", "id", "n", "sketch")).alias("hub"))
+    hubs = materialize(hubs.where("rows > 1").select("word", "hub.*"), "line-hubs")
+    first = materialize(_pairs(own, hubs, _alike("a", "b", F.col("a.n"), F.col("b.n"), near)), "line-pairs")
     settled = materialize(_verified(held, sets, first, near), "line-settled")
-    rest = group.join(settled, "id", "left_anti")
-    second = materialize(pairs(rest, group.where("key != hub")), "line-pairs")
-    return settled.unionByName(_verified(held, sets, second, near))
+    mark = F.when(F.col("done"), F.lit(SETTLED)).otherwise(F.lit(0))
+    rest = able.join(settled.withColumn("done", F.lit(True)), "id", "left")
+    rest = materialize(rest.select("id", "sketch", "key", "prefix", (F.shiftleft(F.col("n").cast("long"), 24) + mark).alias("shape")), "line-prefixes")
+    places = materialize(sets.select("id", "times", "key", "row", "line_no"), "line-places")
+    discard(sets, hubs, first)
+    second = []
+    for part in range(SLICES):
+        group = rest.select("id", "sketch", "key", "shape", F.posexplode("prefix").alias("at", "word")).where(F.pmod("word", F.lit(SLICES)) == part)
+        group = group.select("word", "id", "sketch", "key", (F.col("shape") + F.col("at")).alias("shape"))
+        second.append(materialize(_pairs(group, group, _similar("a", "b", near)), "line-pairs"))
+    discard(rest)
+    listed = reduce(DataFrame.unionByName, second).distinct()
+    return materialize(settled.unionByName(_verified(held, places, listed, near)), "line-matched"), places
 
 
 def dedup_lines(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
@@ -124,16 +160,18 @@ def dedup_lines(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     no rows. ``near``: the least similarity as a fraction.
     """
     held = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64("doc_id", text_of()).alias("row"), text_of().alias("text"))
-    lines = materialize(_line_sets(held, near), "lines")
+    wide = materialize(_line_sets(held, near), "lines")
     kept = ("n", "sketch", "prefix")
-    sets = lines.groupBy("id").agg(F.count("*").alias("times"), F.min(F.struct("key", "row", "line_no")).alias("place"), *(F.first(c).alias(c) for c in kept))
+    sets = wide.groupBy("id").agg(F.count("*").alias("times"), F.min(F.struct("key", "row", "line_no")).alias("place"), *(F.first(c).alias(c) for c in kept))
     sets = materialize(sets.select("id", "times", "place.*", *kept), "line-sets")
-    matched = materialize(matched_sets(held, sets, near), "line-matched")
+    lines = materialize(wide.select("id", "row", "line_no"), "line-ids")
+    discard(wide)
+    matched, sets = matched_sets(held, sets, near)
     judged = sets.select("id", "times", F.col("row").alias("row0"), F.col("line_no").alias("line0")).join(matched.withColumn("gone", F.lit(True)), "id", "left")
     judged = judged.where("times > 1 or gone").select("id", "row0", "line0", F.coalesce("gone", F.lit(False)).alias("gone"))
     removed = lines.select("id", "row", "line_no").join(judged, "id").where("gone or row != row0 or line_no != line0")
     removed = materialize(removed.groupBy("row").agg(F.collect_set("line_no").alias("_removed")).withColumnRenamed("row", "_row"), "line-removed")
-    counted = F.size(F.filter(F.split(text_of(), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))).cast("long")
+    counted = F.size(F.filter(F.split(text_of(), "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")).cast("long")
     other = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     full = docs.select(*other).withColumn("_row", F.xxhash64("doc_id", text_of())).join(removed, "_row", "left")
     cut = F.split("text", "\n")
