@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read, text_of, words
+from .common import discard, materialize, read, text_of
 
 CELLS = 1 << 18
 NEAR = (4, 5)
@@ -113,10 +113,12 @@ def _verified(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[in
     ids = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
     places = sets.join(ids, "id").groupBy("key", "row").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
     lines = held.drop("key").join(places, "row").select("key", "row", F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
-    texts = lines.select("p.id", F.struct("key", "row", "p.line_no").alias("place"), F.array_distinct(words(F.element_at("lines", F.col("p.line_no") + 1))).alias("words")).dropDuplicates(["id"])
+    texts = lines.select("p.id", F.struct("key", "row", "p.line_no").alias("place"), F.element_at("lines", F.col("p.line_no") + 1).alias("line")).dropDuplicates(["id"])
     texts = materialize(texts, "line-texts")
-    both = pairs.join(texts.select(F.col("id").alias("later"), F.col("place").alias("at"), F.col("words").alias("a")), "later")
-    both = both.join(texts.select(F.col("id").alias("earlier"), F.col("place").alias("before"), F.col("words").alias("b")), "earlier").where("before < at")
+    both = pairs.join(texts.select(F.col("id").alias("later"), F.col("place").alias("at"), F.col("line").alias("a")), "later")
+    both = both.join(texts.select(F.col("id").alias("earlier"), F.col("place").alias("before"), F.col("line").alias("b")), "earlier").where("before < at")
+    parts = lambda c: F.array_distinct(F.array_remove(F.split(_spaced(F.col(c)), " "), "")).alias(c)  # noqa: E731  lines travel as text, which is narrower
+    both = both.select("later", parts("a"), parts("b"))
     common = F.size(F.array_intersect("a", "b"))
     return both.where(common * (num + den) >= (F.size("a") + F.size("b")) * num).select(F.col("later").alias("id")).distinct()
 
