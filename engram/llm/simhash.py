@@ -27,19 +27,25 @@ from .components import components
 RADIUS = 3
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of all word shingles of the A-Z-lower-cased text; 0 without words."""
+def shingles(text: str, words: int = 3, seed: int = 42) -> np.ndarray:
+    """The XXH64 of all word shingles of the A-Z-lower-cased text, in order; none without words."""
     import xxhash
 
     parts = text.encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = memoryview(b" ".join(parts))
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(parts) - words + 1)
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[min(words, len(parts)) - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[min(words, len(parts)) - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """Majority bits of the XXH64 of all word shingles of the A-Z-lower-cased text; 0 without words."""
+    hashes = shingles(text, words, seed)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 8192):
         ones += np.unpackbits(hashes[k : k + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
