@@ -252,7 +252,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False, block_bytes: int =
 
     A null or empty text is 64 zero bytes. Equal texts give equal values. Very long texts take several images, coded
     ``block_bytes`` at a time or one document alone. A null doc_id stays null; repeated rows stay; other columns are
-    ignored; no rows give no rows. ``feature``: image size and difference hash of the first image's thumbnail.
+    ignored; no rows give no rows. ``feature``: size of all images and the difference hash of each image's thumbnail, joined by dots.
     """
 
     def rows(docs: list[tuple]) -> pa.RecordBatch:
@@ -265,7 +265,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False, block_bytes: int =
             at += len(p)
             back = b"".join(t.tobytes() for t in own)
             width, height = p[0]["width"], sum(i["height"] for i in p)
-            out.append((doc_id, len(x), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), f"{width}x{height}:{thumbnail_hash(own[0])}", len(p), width, height) + (m,) * keep_media)
+            out.append((doc_id, len(x), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), f"{width}x{height}:{'.'.join(map(thumbnail_hash, own))}", len(p), width, height) + (m,) * keep_media)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
 
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
