@@ -1,11 +1,11 @@
 """I-Match document fingerprints from randomised lexicon subsets, with DataFrame functions only.
 
-The lexicon is every term (lower-cased word, by its 64-bit hash) whose document frequency lies in a band, so very common and
+The lexicon is every term (lower-cased word, by its 64-bit hash) whose document frequency over distinct texts lies in a band, so very common and
 very rare terms are left out. As the document frequencies sum to the distinct terms of all documents, the lexicon has at most
 (mean distinct terms of a document) / ``low`` entries at any corpus size; it travels as one array.
 
 A fingerprint has one slot for each randomised subset of the lexicon: the hash of the document's sorted distinct terms in the
-subset, or ``-`` for none. Subsets keep a term by a seeded hash, at several rates, so short and long documents both have
+subset, or ``-`` for none; a text with words but no filled slot has the hash of all its terms in the first. Subsets keep a term by a seeded hash, at several rates, so short and long documents both have
 slots of a few terms. The likeness of two fingerprints is the share of equal slots among those that either fills.
 """
 
@@ -25,7 +25,9 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = 0.005, high: float = 0.1) -> DataFrame:
-    """Terms of ``docs`` whose document frequency is in [low, high] of all documents and at least 2: one row, one array."""
+    """Terms of ``docs`` whose document frequency is in [low, high] of all distinct texts and at least 2: one row, one array."""
+    text = text_of()
+    docs = docs.groupBy(F.xxhash64(text)).agg(F.first(text).alias("text"))  # copies say nothing about how common a term is
     found = docs.select(F.explode(F.array_distinct(term_hashes(text_of()))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
     kept = found.crossJoin(F.broadcast(total)).where((F.col("df") >= 2) & (F.col("df") >= F.col("n") * low) & (F.col("df") <= F.col("n") * high))
@@ -41,8 +43,14 @@ def slots(terms: Column) -> Column:
     return F.transform(F.array(*out), lambda p: F.when(F.size(p) == 0, F.lit("-")).otherwise(F.lower(F.hex(F.xxhash64(p)))))
 
 
+def filled(terms: Column, every: Column) -> Column:
+    """``slots`` of the lexicon terms; if none is filled, the first has the hash of the sorted distinct terms of ``every``."""
+    whole = F.concat(F.array(F.lower(F.hex(F.xxhash64(F.array_sort(F.array_distinct(every)))))), F.array_repeat(F.lit("-"), sum(n for _, n in SUBSETS) - 1))
+    return F.transform(F.array(slots(terms)), lambda s: F.when(F.exists(s, lambda x: x != "-") | (F.size(every) == 0), s).otherwise(whole))[0]
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Equal filled slots over filled slots; two fingerprints without any filled slot are alike (1)."""
+    """Equal filled slots over filled slots; two fingerprints without any filled slot, of wordless texts, are alike (1)."""
     used = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != "-") | (y != "-")), lambda x: x))
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != "-") & (x == y)), lambda x: x))
     return F.when(used == 0, F.lit(1.0)).otherwise(same / used)
@@ -51,11 +59,11 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, terms: Column | None = None) -> DataFrame:
     """``docs`` with a column ``fingerprint`` (slots joined by a dot).
 
-    Null texts count as empty and have no filled slot. Equal texts have equal fingerprints. Other columns stay.
+    Null texts count as empty; only texts without words have no filled slot. Equal texts have equal fingerprints. Other columns stay.
     """
     terms = lexicon(docs).scalar() if terms is None else terms
     own = docs.withColumn("_terms", F.array_intersect(terms, term_hashes(text_of())))
-    return own.withColumn("fingerprint", F.array_join(slots(F.col("_terms")), ".")).drop("_terms")
+    return own.withColumn("fingerprint", F.array_join(filled(F.col("_terms"), term_hashes(text_of())), ".")).drop("_terms")
 
 
 def with_next(docs: DataFrame, rows_per_range: int = 64, max_ranges: int = 4096) -> DataFrame:
@@ -95,7 +103,7 @@ def op5_imatch(spark, sf_dir: str) -> DataFrame:
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half)))
     rows = rows.withColumn("own", F.array_intersect(terms, term_hashes(F.col("text")))).withColumn("other", F.array_intersect(terms, term_hashes(F.col("edited"))))
-    rows = rows.select("doc_id", "at", "real", "_key", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), slots(F.col("own")).alias("own"), slots(F.col("other")).alias("other"))
+    rows = rows.select("doc_id", "at", "real", "_key", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), filled(F.col("own"), term_hashes(F.col("text"))).alias("own"), filled(F.col("other"), term_hashes(F.col("edited"))).alias("other"))
     order = Window.partitionBy("at").orderBy(F.desc("real"), "_key", "text")
     rows = rows.withColumn("next", F.lead("own").over(order)).where("real")
     return rows.select(
