@@ -66,6 +66,23 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` has not."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a non-null text."""
     return F.array_remove(F.split(text, SPACE), "")

@@ -1,40 +1,54 @@
-"""Line dedup by an exact set-similarity join. DataFrame functions only.
+"""Line dedup by an exact set-similarity join.
 
 A line is the set of its words. It goes if an earlier line (ascending doc_id, then place in the text) has a set with Jaccard
 similarity of at least ``near[0] / near[1]``. Lines with the same set are settled by grouping; what is left is joined:
 
-* rarity: words are hashed to ``CELLS`` counters over the whole corpus (a table of fixed size at any corpus size) and a
-  line's words are ordered by the class of their counter, then by hash. Any fixed order gives exact results; this one
-  makes the first words rare.
+* rarity: the words of the whole corpus are counted in ``CELLS`` cells by their hash, and a line's words are ordered by the
+  class of their cell (twice the binary logarithm of its count), then by hash. Any fixed order gives exact results; this one
+  makes the first words rare. A word alone in its cell occurs once in the corpus, so no other line has it.
 * prefix filter: of two similar sets, the larger has one of its first floor(n (1 - t)) + 1 words, and the smaller one of its
   first floor(n (1 - t) / (1 + t)) + 1 words, in common with the other.
 * length and positional filters: sizes must allow the similarity, and so must what follows the common word.
 * bitmap filter: each set has a 64-bit parity sketch of its words; where two sketches differ in more bits than similar sets
   could differ in words, the pair is dropped. It never drops a similar pair.
-* verification: the Jaccard similarity of the whole lines, read again from the documents.
+* verification: the Jaccard similarity of the whole lines, read again from the documents. One similar earlier line is enough, so
+  the most promising pair of each set is tried first and the others only if it fails.
 
 Groups of many similar lines aren't listed pair by pair. First each set meets the earliest set that shares two neighbouring
 prefix words with it; sets that are similar to that one are settled. Only the others meet all sets with a common prefix word, and
 only pairs that pass all filters leave the join. That join is done in ``SLICES`` parts of the words, so its shuffles never hold
 more than a part of the prefixes at once, and tables are deleted once nothing reads them.
+
+Words are split, hashed and ordered in Arrow batches with numpy: the higher-order functions that did this before took more than
+half of the time that the whole operator may take (figures in the README). Everything else is DataFrame functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read, text_of
+from .common import columns_of, discard, fresh, materialize, read, text_of
 
-CELLS = 1 << 18
+#: Cells of the word counts: one byte each where words are ordered, at most so many small rows to the driver, at any corpus size.
+CELL_BITS = 24
 NEAR = (4, 5)
-SLICES = 8
+SLICES = 4
 #: Neighbouring prefix words that a set is settled by, and the mark of settled sets.
 SETTLING = 3
 SETTLED = 1 << 62
 BLANK = " \t\n\v\f\r"
+#: Bytes of text handled at once in a task.
+BLOCK = 1 << 20
+U = np.uint64
+_LOW = U((1 << 58) - 1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _spaced(text: Column) -> Column:
@@ -43,35 +57,126 @@ def _spaced(text: Column) -> Column:
     return F.when(odd, F.translate(text, BLANK[1:], "     ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
 
 
-def _cell(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[bytes]]]:
+    """Rows of a few documents at a time: their other columns, and their texts (the last column) as bytes."""
+    rows, texts, size = [], [], 0
+    for batch in batches:
+        other = zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True) if batch.num_columns > 1 else [()] * batch.num_rows
+        for row, text in zip(other, batch.columns[-1], strict=True):
+            rows.append(row)
+            texts.append(text.as_py().encode())
+            size += len(texts[-1])
+            if size >= BLOCK:
+                yield rows, texts
+                rows, texts, size = [], [], 0
+    if rows:
+        yield rows, texts
 
 
-def rarity_classes(docs: DataFrame) -> Column:
-    """An array of ``CELLS`` classes in the upper bits of a number, each twice the binary logarithm of how many words of ``docs`` (text) fell in that cell."""
-    found = docs.select(F.explode(F.split(_spaced(F.col("text")), " ")).alias("w")).where("w <> ''").select(_cell(F.xxhash64("w")).alias("cell")).groupBy("cell")
-    classes = [0] * CELLS
-    for cell, kind in found.agg(F.floor(2 * F.log2(F.count("*") + 1)).cast("int").alias("kind")).collect():
-        classes[cell] = min(63, kind) << 57
-    return F.from_json(F.lit(f"[{','.join(map(str, classes))}]"), "array<bigint>")
+def _hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
 
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
 
-def _line_sets(held: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """A row for each line with words: its place and its set's id, size, sketch and prefix."""
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def rarity_classes(docs: DataFrame) -> np.ndarray:
+    """The class of each cell over all words of ``docs`` (text): 0 for a cell of at most one word, else twice the binary logarithm of the words in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            cells, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int32), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], ["cell", "n"])
+
+        for _, texts in _blocks(batches):
+            parts.append((_hashes(b"\n".join(texts).split()) >> U(64 - CELL_BITS)).astype(np.int32))
+            size += len(parts[-1])
+            if size > 1 << 22:
+                yield out()
+                parts, size = [], 0
+        yield out()
+
+    found = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    table = found.select("cell", F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("byte").alias("kind")).toArrow()
+    classes = np.zeros(1 << CELL_BITS, np.uint8)
+    classes[table.column("cell").to_numpy()] = table.column("kind").to_numpy()
+    return classes
+
+
+def line_rows(texts: list[bytes], classes: np.ndarray, near: tuple[int, int]) -> dict[str, np.ndarray]:
+    """Sets of all lines with words of some texts: text, line_no, id, n, sketch; prefixes (skip words, then their words) and settling words with counts."""
     num, den = near
-    classes = rarity_classes(held)
-    low = F.lit((1 << 57) - 1)
-    lines = held.select("key", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(BLANK)) != "")
-    found = F.array_distinct(F.transform(F.array_remove(F.split(_spaced(F.col("line")), " "), ""), lambda w: F.xxhash64(w)))
-    rank = lambda h: F.get(classes, _cell(h)).bitwiseOR(h.bitwiseAND(low))
-    lines = lines.select("key", "row", "line_no", F.sort_array(F.transform(found, rank)).alias("tokens"))
-    flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
-    n = F.size("tokens")
-    return lines.select(
-        "key", "row", "line_no", F.xxhash64("tokens").alias("id"), n.alias("n"),
-        F.aggregate("tokens", F.lit(0).cast("long"), flip).alias("sketch"),
-        F.slice("tokens", F.lit(1), F.floor(n * (den - num) / den).cast("int") + 1).alias("prefix"),
-    )
+    data = b"\n".join(texts)
+    raw = np.frombuffer(data, np.uint8)
+    space = _SPACE[raw]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(raw) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(raw == 10)
+    line = np.searchsorted(ends, starts)
+    h = _hashes(data.split())
+    rank = (classes[(h >> U(64 - CELL_BITS)).astype(np.int64)].astype(U) << U(58)) | (h & _LOW)
+    order = np.lexsort((rank, line))
+    rank, line = rank[order], line[order]
+    fresh_word = np.concatenate([[True], (rank[1:] != rank[:-1]) | (line[1:] != line[:-1])])[: len(rank)]
+    rank, line = rank[fresh_word], line[fresh_word]
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
+    n = np.diff(np.append(first, len(line)))
+    at = np.arange(len(line)) - np.repeat(first, n)
+    most = n * (den - num) // den + 1
+    mixed = _mix(rank)
+    in_prefix = (at < np.repeat(most, n)) & (rank >> U(58) > 0)
+    prefix, of = rank[in_prefix], np.repeat(np.arange(len(n)), n)[in_prefix]
+    held = np.bincount(of, minlength=len(n))
+    # The least hashes of two neighbouring prefix words (of the word itself if it is alone).
+    mine = of[1:] == of[:-1]
+    alone = held[of] == 1
+    pair = np.concatenate([_mix(prefix[:-1] * U(0x9E3779B97F4A7C15) + prefix[1:])[mine], _mix(prefix[alone] * U(0x9E3779B97F4A7C15))])
+    whose = np.concatenate([of[:-1][mine], of[alone]])
+    order = np.lexsort((pair, whose))
+    pair, whose = pair[order], whose[order]
+    begin = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]])[: len(whose)])
+    few = np.arange(len(whose)) - np.repeat(begin, np.diff(np.append(begin, len(whose)))) < SETTLING
+    own = line[first]
+    size = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
+    text = np.searchsorted(np.cumsum(size), own, side="right")
+    return {
+        "text": text, "line_no": own - (np.cumsum(size) - size)[text], "n": n, "skip": most - held, "prefix": prefix, "held": held,
+        "id": _mix(np.add.reduceat(mixed, first)) if len(first) else mixed,
+        "sketch": np.bitwise_xor.reduceat(U(1) << (mixed & U(63)), first) if len(first) else mixed,
+        "settling": pair[few], "settlings": np.bincount(whose[few], minlength=len(n)),
+    }
+
+
+LINE = "key long, row long, line_no int, id long, n int, sketch long, skip int, prefix array<long>, settling array<long>"
+
+
+def _line_sets(held: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """A row for each line with words: its place and its set's id, size, sketch, prefix and settling words."""
+    classes = held.sparkSession.sparkContext.broadcast(rarity_classes(held))
+
+    def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(values.view(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in _blocks(batches):
+            x = line_rows(texts, classes.value, near)
+            key, row = (np.array([r[k] for r in rows], np.int64)[x["text"]] for k in (0, 1))
+            whole = lambda a: pa.array(a.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key), pa.array(row), whole(x["line_no"]), pa.array(x["id"].view(np.int64)), whole(x["n"]), pa.array(x["sketch"].view(np.int64)), whole(x["skip"]),
+                    lists(x["prefix"], x["held"]), lists(x["settling"], x["settlings"]),
+                ],
+                [c.split()[0] for c in LINE.split(", ")],
+            )
+
+    return held.select("key", "row", "text").mapInArrow(run, LINE)
 
 
 def _unpacked(shape: Column) -> tuple[Column, Column]:
@@ -107,14 +212,19 @@ def _similar(a: str, b: str, near: tuple[int, int]) -> Column:
     return _alike(a, b, n, m, near) & (most * (num + den) >= (n + m) * num) & indexed
 
 
-def _verified(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[int, int]) -> DataFrame:
+def _texts(held: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, place, line) of the sets ``ids``, read from the documents that have them first."""
+    places = sets.join(ids.distinct(), "id").groupBy("key", "row").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
+    cut = F.split("text", "\n")
+    lines = F.transform("places", lambda p: F.struct(p["id"].alias("id"), p["line_no"].alias("line_no"), F.get(F.col("cut"), p["line_no"]).alias("line")))
+    found = held.drop("key").join(places, "row").select("key", "row", "places", cut.alias("cut")).select("key", "row", F.explode(lines).alias("p"))
+    # Rows that are equal give the same line several times.
+    return materialize(found.select("p.id", F.struct("key", "row", "p.line_no").alias("place"), "p.line").dropDuplicates(["id"]), "line-texts")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, near: tuple[int, int]) -> DataFrame:
     """(id) of the later sets of ``pairs`` (later, earlier) whose lines are similar."""
     num, den = near
-    ids = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
-    places = sets.join(ids, "id").groupBy("key", "row").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
-    lines = held.drop("key").join(places, "row").select("key", "row", F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
-    texts = lines.select("p.id", F.struct("key", "row", "p.line_no").alias("place"), F.element_at("lines", F.col("p.line_no") + 1).alias("line")).dropDuplicates(["id"])
-    texts = materialize(texts, "line-texts")
     both = pairs.join(texts.select(F.col("id").alias("later"), F.col("place").alias("at"), F.col("line").alias("a")), "later")
     both = both.join(texts.select(F.col("id").alias("earlier"), F.col("place").alias("before"), F.col("line").alias("b")), "earlier").where("before < at")
     parts = lambda c: F.array_distinct(F.array_remove(F.split(_spaced(F.col(c)), " "), "")).alias(c)  # noqa: E731  lines travel as text, which is narrower
@@ -124,32 +234,46 @@ def _verified(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[in
 
 
 def _pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-    return a.alias("a").join(b.alias("b"), on).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
+    """(later, earlier, differ) of the rows of ``a`` and ``b`` that may be similar; the sketches differ in ``differ`` bits."""
+    differ = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))).alias("differ")
+    return a.alias("a").join(b.alias("b").hint("merge"), on).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), differ).distinct()
+
+
+def _settled(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """(id) of the later sets of the table ``pairs`` for which one of the pairs is similar. ``pairs`` is used up."""
+    best = pairs.groupBy("later").agg(F.min(F.struct("differ", "earlier")).alias("best"), F.count("*").alias("all"))
+    best = materialize(best.select("later", F.col("best.earlier").alias("earlier"), "all"), "line-best")
+    texts = _texts(held, sets, pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))))
+    found = materialize(_verified(texts, best.select("later", "earlier"), near), "line-found")
+    left = best.where(F.col("all") > 1).join(found.withColumnRenamed("id", "later"), "later", "left_anti").select("later", F.col("earlier").alias("tried"))
+    others = pairs.join(left, "later").where("earlier != tried").select("later", "earlier")
+    more = materialize(_verified(texts, others, near), "line-found")
+    discard(pairs, best, texts)
+    return found.unionByName(more)
 
 
 def matched_sets(held: DataFrame, sets: DataFrame, near: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(id) of the sets to which an earlier, different one is similar, and ``sets`` without prefixes. ``sets`` is used up."""
-    num, den = near
-    able = sets.where(F.col("n") * num >= (den - num) * den - den + num + 1)
-    neighbours = F.transform(F.sequence(F.lit(1), F.greatest(F.size("prefix") - 1, F.lit(1))), lambda i: F.xxhash64(F.slice("prefix", i, 2)))
-    own = able.select("id", "n", "sketch", "key", F.explode(F.slice(F.sort_array(F.array_distinct(neighbours)), 1, SETTLING)).alias("word"))
+    able = sets.where(F.size("prefix") > 0)
+    own = able.select("id", "n", "sketch", "key", F.explode("settling").alias("word"))
     hubs = own.groupBy("word").agg(F.count("*").alias("rows"), F.min(F.struct("key", "id", "n", "sketch")).alias("hub"))
     hubs = materialize(hubs.where("rows > 1").select("word", "hub.*"), "line-hubs")
     first = materialize(_pairs(own, hubs, _alike("a", "b", F.col("a.n"), F.col("b.n"), near)), "line-pairs")
-    settled = materialize(_verified(held, sets, first, near), "line-settled")
+    places = materialize(sets.select("id", "times", "key", "row", "line_no"), "line-places")
+    settled = _settled(held, places, first, near)
     mark = F.when(F.col("done"), F.lit(SETTLED)).otherwise(F.lit(0))
     rest = able.join(settled.withColumn("done", F.lit(True)), "id", "left")
-    rest = materialize(rest.select("id", "sketch", "key", "prefix", (F.shiftleft(F.col("n").cast("long"), 24) + mark).alias("shape")), "line-prefixes")
-    places = materialize(sets.select("id", "times", "key", "row", "line_no"), "line-places")
-    discard(sets, hubs, first)
+    rest = materialize(rest.select("id", "sketch", "key", "skip", "prefix", (F.shiftleft(F.col("n").cast("long"), 24) + mark).alias("shape")), "line-prefixes")
+    discard(sets, hubs)
     second = []
     for part in range(SLICES):
-        group = rest.select("id", "sketch", "key", "shape", F.posexplode("prefix").alias("at", "word")).where(F.pmod("word", F.lit(SLICES)) == part)
-        group = group.select("word", "id", "sketch", "key", (F.col("shape") + F.col("at")).alias("shape"))
+        group = rest.select("id", "sketch", "key", "skip", "shape", F.posexplode("prefix").alias("at", "word")).where(F.pmod("word", F.lit(SLICES)) == part)
+        group = group.select("word", "id", "sketch", "key", (F.col("shape") + F.col("skip") + F.col("at")).alias("shape"))
         second.append(materialize(_pairs(group, group, _similar("a", "b", near)), "line-pairs"))
     discard(rest)
-    listed = reduce(DataFrame.unionByName, second).distinct()
-    return materialize(settled.unionByName(_verified(held, places, listed, near)), "line-matched"), places
+    listed = materialize(reduce(DataFrame.unionByName, second).distinct(), "line-pairs")
+    discard(*second)
+    return settled.unionByName(_settled(held, places, listed, near)), places
 
 
 def dedup_lines(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
@@ -161,9 +285,10 @@ def dedup_lines(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     same doc_id are ordered by a hash of their text; rows equal in both are one document and get the same result. No rows give
     no rows. ``near``: the least similarity as a fraction.
     """
+    row, removed_lines = fresh(docs, "row", "removed_lines")
     held = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64("doc_id", text_of()).alias("row"), text_of().alias("text"))
     wide = materialize(_line_sets(held, near), "lines")
-    kept = ("n", "sketch", "prefix")
+    kept = ("n", "sketch", "skip", "prefix", "settling")
     sets = wide.groupBy("id").agg(F.count("*").alias("times"), F.min(F.struct("key", "row", "line_no")).alias("place"), *(F.first(c).alias(c) for c in kept))
     sets = materialize(sets.select("id", "times", "place.*", *kept), "line-sets")
     lines = materialize(wide.select("id", "row", "line_no"), "line-ids")
@@ -172,15 +297,17 @@ def dedup_lines(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     judged = sets.select("id", "times", F.col("row").alias("row0"), F.col("line_no").alias("line0")).join(matched.withColumn("gone", F.lit(True)), "id", "left")
     judged = judged.where("times > 1 or gone").select("id", "row0", "line0", F.coalesce("gone", F.lit(False)).alias("gone"))
     removed = lines.select("id", "row", "line_no").join(judged, "id").where("gone or row != row0 or line_no != line0")
-    removed = materialize(removed.groupBy("row").agg(F.collect_set("line_no").alias("_removed")).withColumnRenamed("row", "_row"), "line-removed")
+    removed = materialize(removed.groupBy("row").agg(F.collect_set("line_no").alias(removed_lines)).withColumnRenamed("row", row), "line-removed")
+    discard(lines, sets, matched)
     counted = F.size(F.filter(F.split(text_of(), "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")).cast("long")
-    other = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    full = docs.select(*other).withColumn("_row", F.xxhash64("doc_id", text_of())).join(removed, "_row", "left")
+    other = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    full = docs.select(*columns_of(other), F.xxhash64("doc_id", text_of()).alias(row)).join(removed, row, "left")
+    gone = F.col(removed_lines)
     cut = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(1), F.size(cut)), F.transform("_removed", lambda i: i + 1))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(cut, i)), "\n"))
-    full = full.withColumn("n_lines", counted).withColumn("n_removed", F.coalesce(F.size("_removed"), F.lit(0)).cast("long"))
-    return full.withColumn("text", text).select(*other, "n_lines", "n_removed")
+    left = F.array_except(F.sequence(F.lit(1), F.size(cut)), F.transform(gone, lambda i: i + 1))
+    text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(cut, i)), "\n"))
+    full = full.withColumn("n_lines", counted).withColumn("n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+    return full.withColumn("text", text).select(*columns_of(other), "n_lines", "n_removed")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
