@@ -17,7 +17,7 @@ No shuffle: documents are packed where they are read. A lost task repeats its ow
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -38,34 +38,32 @@ def default_vocabulary() -> str:
 
 
 def encoder(path: str):
-    """A function from text to ids of the byte-level BPE file at ``path``.
+    """A function from text to the ids that ``tokenizers`` gives with the byte-level BPE file at ``path``, special tokens included.
 
-    A ``.json`` file is read by ``tokenizers``. If the same vocabulary lies beside it as ``.tiktoken`` ranks, the faster
-    library reads that; the ids are the same (tests/llm/test_packing.py compares them).
+    The file's vocabulary is read into a table of byte strings, which the faster of the two installed BPE libraries takes; the
+    tests compare the ids with those of ``tokenizers``. Only byte-level BPE whose ids follow its merges can be read so.
     """
-    import os
-
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks):
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        bpe = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        return lambda text: np.asarray(bpe.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
-    from tokenizers import Tokenizer
+    import public_tokenizers
+    import tiktoken
 
-    bpe = Tokenizer.from_file(path)
-    bpe.encode_special_tokens = True
-    return lambda text: np.array(bpe.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"] or spec["pre_tokenizer"]["add_prefix_space"]:
+        raise ValueError(f"{path} is no plain byte-level BPE")
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    # Byte-level files write printable bytes as themselves and the others as the characters from 256 on.
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
+    ranks = {bytes(map(byte.__getitem__, w)): k for w, k in spec["model"]["vocab"].items() if w not in special}
+    bpe = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: np.asarray(bpe.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
 
 
 class SumOfSquares:
-    """The packing state of one partition. Closed pieces are appended to ``done``."""
+    """The packing state of one partition. Closed pieces are appended to ``done``, with their ids if ``ids`` is set."""
 
-    def __init__(self, window: int, first_sequence: int):
-        self.window, self.sequence = window, first_sequence
+    def __init__(self, window: int, first_sequence: int, ids: bool = False):
+        self.window, self.sequence, self.ids = window, first_sequence, ids
         self.count = np.zeros(window + 1, np.int64)  # windows by fill level
         self.open: list[list[list]] = [[] for _ in range(window + 1)]  # by level: windows, each a list of pieces
         self.done: list[tuple] = []
@@ -101,7 +99,7 @@ class SumOfSquares:
     def close(self, pieces: list) -> None:
         offset = 0
         for doc_id, start, total, ids in pieces:
-            self.done.append((doc_id, start, len(ids), ids, total, self.sequence, offset))
+            self.done.append((doc_id, start, len(ids), zlib.crc32(np.ascontiguousarray(ids)), total, self.sequence, offset, *[ids.tolist()] * self.ids))
             offset += len(ids)
         self.sequence += 1
 
@@ -135,19 +133,17 @@ def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None, sep
     fields = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")] + [("ids", pa.list_(pa.int32()))] * ids)
 
     def out(done: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*done, strict=True)) or [()] * 7
-        cols[3], raw = [zlib.crc32(np.ascontiguousarray(x)) for x in cols[3]], cols[3]
-        arrays = [pa.array(c, pa.int64()) for c in cols] + [pa.array(list(map(np.ndarray.tolist, raw)), pa.list_(pa.int32()))] * ids
-        return pa.RecordBatch.from_arrays(arrays, schema=fields)
+        cols = list(zip(*done, strict=True)) or [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        state = SumOfSquares(window, TaskContext.get().partitionId() << 32)
+        state = SumOfSquares(window, TaskContext.get().partitionId() << 32, ids)
         end = np.array([separator], "<u4")
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 state.add(doc_id, np.concatenate([encode(text.as_py()), end]))
-                if len(state.done) >= 20_000:
+                if len(state.done) >= 1000:
                     yield out(state.done)
                     state.done = []
         state.finish()

@@ -61,13 +61,13 @@ def test_awkward_rows(spark, name):
 
 
 def test_packing(spark):
-    docs = frame(spark, [*AWKWARD, *random_texts(1, 40)])
+    special = ["<|endoftext|> hi", "a<|endoftext|><|endoftext|>", "<|endoftext", "tab\u00a0\u2003wide \u3000 end  ", "it's we'LL 12345 \x00\x85"]
+    docs = frame(spark, [*AWKWARD, *random_texts(1, 40), *special])
     rows = packing.pack(docs, ids=True).collect()
     encode = packing.encoder(packing.default_vocabulary())
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(packing.default_vocabulary())
-    plain.encode_special_tokens = True
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
