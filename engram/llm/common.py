@@ -61,6 +61,14 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """``df``, marked for a broadcast only if it has at most ``most`` rows; larger ones are joined by shuffle.
+
+    The count is cheap on a table of ``materialize``.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def text_of(col: str | Column = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
