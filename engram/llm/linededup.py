@@ -9,6 +9,8 @@ similarity of at least ``near[0] / near[1]``. Lines with the same set are settle
 * prefix filter: of two similar sets, the larger has one of its first floor(n (1 - t)) + 1 words, and the smaller one of its
   first floor(n (1 - t) / (1 + t)) + 1 words, in common with the other.
 * length and positional filters: sizes must allow the similarity, and so must what follows the common word.
+* suffix bound: tokens that are common and stand in both prefixes are counted; all other common words stand behind the prefix that
+  ends first, so the overlap is at most that count and what is left behind it.
 * bitmap filter: each set has a 64-bit parity sketch of its words; where two sketches differ in more bits than similar sets
   could differ in words, the pair is dropped. It never drops a similar pair.
 * verification: the Jaccard similarity of the whole lines, read again from the documents. One similar earlier line is enough, so
@@ -33,20 +35,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, discard, fresh, materialize, read, text_of
+from .common import columns_of, discard, fresh, materialize, read, small, text_of
 
 #: Cells of the word counts: one byte each where words are ordered, at most so many small rows to the driver, at any corpus size.
 CELL_BITS = 24
 NEAR = (4, 5)
 SLICES = 4
 #: Neighbouring prefix words that a set is settled by, and the mark of settled sets.
-SETTLING = 3
+SETTLING = 2
 SETTLED = 1 << 62
 BLANK = " \t\n\v\f\r"
 #: Bytes of text handled at once in a task.
 BLOCK = 1 << 20
 U = np.uint64
 _LOW = U((1 << 58) - 1)
+#: Bytes hashed at once, which fit a core's cache; powers of an odd number and of its inverse, and a random number for each byte value.
+CHUNK = 1 << 15
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.cumprod(np.full(CHUNK, _BASE, U))
+_INVERSE = np.concatenate([[U(1)], np.cumprod(np.full(CHUNK - 1, pow(_BASE, -1, 1 << 64), U))])
+_BYTES = np.random.default_rng(10).integers(0, 1 << 64, 256, U)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -62,9 +70,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], li
     rows, texts, size = [], [], 0
     for batch in batches:
         other = zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True) if batch.num_columns > 1 else [()] * batch.num_rows
-        for row, text in zip(other, batch.columns[-1], strict=True):
+        for row, text in zip(other, batch.columns[-1].cast(pa.binary()), strict=True):
             rows.append(row)
-            texts.append(text.as_py().encode())
+            texts.append(text.as_py())
             size += len(texts[-1])
             if size >= BLOCK:
                 yield rows, texts
@@ -73,10 +81,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], li
         yield rows, texts
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts, and a 64-bit hash of its bytes: a polynomial in them over random byte values, mixed."""
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    space = _SPACE[raw]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    out, i = np.empty(len(starts), U), 0
+    while i < len(starts):
+        at = int(starts[i])
+        j = int(np.searchsorted(ends, at + CHUNK, side="right"))
+        if j == i:  # a word longer than a chunk
+            import xxhash
+
+            out[i] = xxhash.xxh3_64_intdigest(data[at : int(ends[i])])
+            i += 1
+            continue
+        sums = np.zeros(int(ends[j - 1]) - at + 1, U)
+        np.cumsum(_BYTES[raw[at : int(ends[j - 1])]] * _POWERS[: len(sums) - 1], out=sums[1:])
+        a, b = starts[i:j] - at, ends[i:j] - at
+        out[i:j] = (sums[b] - sums[a]) * _INVERSE[a] + (b - a).astype(U)
+        i = j
+    return starts, _mix(out)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,7 +124,7 @@ def rarity_classes(docs: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], ["cell", "n"])
 
         for _, texts in _blocks(batches):
-            parts.append((_hashes(b"\n".join(texts).split()) >> U(64 - CELL_BITS)).astype(np.int32))
+            parts.append((_words(b"\n".join(texts))[1] >> U(64 - CELL_BITS)).astype(np.int32))
             size += len(parts[-1])
             if size > 1 << 22:
                 yield out()
@@ -114,15 +142,16 @@ def line_rows(texts: list[bytes], classes: np.ndarray, near: tuple[int, int]) ->
     """Sets of all lines with words of some texts: text, line_no, id, n, sketch; prefixes (skip words, then their words) and settling words with counts."""
     num, den = near
     data = b"\n".join(texts)
-    raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(raw) else np.zeros(0, np.int64)
-    ends = np.flatnonzero(raw == 10)
-    line = np.searchsorted(ends, starts)
-    h = _hashes(data.split())
-    rank = (classes[(h >> U(64 - CELL_BITS)).astype(np.int64)].astype(U) << U(58)) | (h & _LOW)
-    order = np.lexsort((rank, line))
-    rank, line = rank[order], line[order]
+    starts, h = _words(data)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
+    kind = classes[(h >> U(64 - CELL_BITS)).astype(np.int64)].astype(U)
+    # Words of a line by class, then by hash; first by a part of the hash, as one number.
+    key = (line.astype(U) << U(44)) | (kind << U(38)) | (h & U((1 << 38) - 1))
+    order = np.argsort(key) if len(line) and line[-1] < 1 << 20 else np.lexsort((h, h & U((1 << 38) - 1), kind, line))
+    k, x = key[order], h[order]
+    if ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
+        order = np.lexsort((h, h & U((1 << 38) - 1), kind, line))
+    rank, line = ((kind << U(58)) | (h & _LOW))[order], line[order]
     fresh_word = np.concatenate([[True], (rank[1:] != rank[:-1]) | (line[1:] != line[:-1])])[: len(rank)]
     rank, line = rank[fresh_word], line[fresh_word]
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
@@ -199,17 +228,32 @@ def _alike(a: str, b: str, n: Column, m: Column, near: tuple[int, int]) -> Colum
     return (x("word") == y("word")) & (x("id") != y("id")) & (y("key") <= x("key")) & size
 
 
-def _similar(a: str, b: str, near: tuple[int, int]) -> Column:
-    """Whether rows ``a`` and ``b`` that share a prefix word pass all filters.
+def _meetings(group: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """Pairs of sets that share a prefix word and may be similar by size and sketch: (later, earlier), the bits in which their
+    sketches differ, the prefix words of ``group`` that they share, and whether one of these passes the positional filter.
 
-    The mark of a settled ``a`` stays in its size, so it fails the length filter. (A filter of ``a`` alone would go below the
-    exchange, and both sides would be shuffled instead of one.)
+    The mark of a settled set stays in its size as the later one, so it fails the length filter. (A filter of that side alone
+    would go below the exchange, and both sides would be shuffled instead of one.)
     """
     num, den = near
-    (n, at), (m, to) = _unpacked(F.col(f"{a}.shape")), _unpacked(F.col(f"{b}.shape").bitwiseAND(F.lit(SETTLED - 1)))
+    (n, at), (m, to) = _unpacked(F.col("a.shape")), _unpacked(F.col("b.shape").bitwiseAND(F.lit(SETTLED - 1)))
     most = F.least(at, to) + F.least(n - at, m - to)
     indexed = F.when(n < m, _indexed(n, at, near)).when(n > m, _indexed(m, to, near)).otherwise(_indexed(n, at, near) & _indexed(m, to, near))
-    return _alike(a, b, n, m, near) & (most * (num + den) >= (n + m) * num) & indexed
+    placed = (most * (num + den) >= (n + m) * num) & indexed
+    differ = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))).alias("differ")
+    both = group.alias("a").join(group.alias("b").hint("merge"), _alike("a", "b", n, m, near))
+    both = both.select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), differ, placed.alias("placed"), n.alias("n"), m.alias("m"))
+    return both.groupBy("later", "earlier").agg(F.count("*").alias("common"), F.bool_or("placed").alias("placed"), *(F.min(c).alias(c) for c in ("differ", "n", "m")))
+
+
+def _met(parts: list[DataFrame], near: tuple[int, int]) -> DataFrame:
+    """(later, earlier, differ) of the meetings in all ``parts`` that pass the positional filter and the suffix bound."""
+    num, den = near
+    whole = reduce(DataFrame.unionByName, parts).groupBy("later", "earlier")
+    whole = whole.agg(F.sum("common").alias("common"), F.bool_or("placed").alias("placed"), *(F.min(c).alias(c) for c in ("differ", "n", "m")))
+    behind = lambda c: F.col(c) - F.floor(F.col(c) * (den - num) / den) - 1
+    most = F.col("common") + F.greatest(behind("n"), behind("m"))
+    return whole.where(F.col("placed") & (most * (num + den) >= (F.col("n") + F.col("m")) * num)).select("later", "earlier", "differ")
 
 
 def _texts(held: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -217,7 +261,7 @@ def _texts(held: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
     places = sets.join(ids.distinct(), "id").groupBy("key", "row").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
     cut = F.split("text", "\n")
     lines = F.transform("places", lambda p: F.struct(p["id"].alias("id"), p["line_no"].alias("line_no"), F.get(F.col("cut"), p["line_no"]).alias("line")))
-    found = held.drop("key").join(places, "row").select("key", "row", "places", cut.alias("cut")).select("key", "row", F.explode(lines).alias("p"))
+    found = held.drop("key").join(small(materialize(places, "line-held")), "row").select("key", "row", "places", cut.alias("cut")).select("key", "row", F.explode(lines).alias("p"))
     # Rows that are equal give the same line several times.
     return materialize(found.select("p.id", F.struct("key", "row", "p.line_no").alias("place"), "p.line").dropDuplicates(["id"]), "line-texts")
 
@@ -269,9 +313,9 @@ def matched_sets(held: DataFrame, sets: DataFrame, near: tuple[int, int]) -> tup
     for part in range(SLICES):
         group = rest.select("id", "sketch", "key", "skip", "shape", F.posexplode("prefix").alias("at", "word")).where(F.pmod("word", F.lit(SLICES)) == part)
         group = group.select("word", "id", "sketch", "key", (F.col("shape") + F.col("skip") + F.col("at")).alias("shape"))
-        second.append(materialize(_pairs(group, group, _similar("a", "b", near)), "line-pairs"))
+        second.append(materialize(_meetings(group, near), "line-meetings"))
     discard(rest)
-    listed = materialize(reduce(DataFrame.unionByName, second).distinct(), "line-pairs")
+    listed = materialize(_met(second, near), "line-pairs")
     discard(*second)
     return settled.unionByName(_settled(held, places, listed, near)), places
 
