@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from engram.plans.queries import QUERIES, SQL
+from engram.plans.catalog import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
