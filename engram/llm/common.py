@@ -21,12 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is chosen and set.
+    Only a local session without that setting (a test) gets a temporary folder; on a cluster its absence is an error, as executors
+    would write to disks of their own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("engram.scratch.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("engram.scratch.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="engram-")
         spark.conf.set("engram.scratch.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -86,6 +88,11 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def masked(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with all columns but ``used`` under names that no operator uses; ``toDF(*docs.columns)`` undoes it."""
+    return docs.toDF(*(c if c in used else f"other {i}" for i, c in enumerate(docs.columns)))
+
+
 def columns_of(names: list[str]) -> list[Column]:
     """Columns by their exact names, dots and all."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in names]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 new = moved.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             else:  # smaller neighbours, and the node itself
                 new = moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("u != m").select("u", F.col("m").alias("v")))
-            links = materialize(new.distinct(), "links")
+            used, links = links, materialize(new.distinct(), "links")
+            discard(used, least)
         now = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break

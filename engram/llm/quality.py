@@ -18,7 +18,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import read, text_of
 
@@ -62,10 +61,14 @@ def terms(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8192, dims: int = 64) -> dict:
-    """The space and the labelled vectors, from at most ``max_labelled`` rows of ``labels`` (doc_id, quality)."""
+    """The space and the labelled vectors, from at most ``max_labelled`` rows of ``labels`` (doc_id, quality).
+
+    Labels without an id, a value or a document don't count; without any, all scores are 0.5.
+    """
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", "quality").limit(max_labelled)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")
+    # A repeated doc_id brings its least text only, so no more rows come than labels.
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,13 +101,11 @@ def vote(model: dict, x: np.ndarray, neighbours: int, power: float) -> np.ndarra
     return np.clip((weight * model["labels"][near]).sum(1) / weight.sum(1), 0, 1)
 
 
-def score(docs: DataFrame, model: dict, neighbours: int = 15, power: float = 16.0, block: int = 256, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns ``keep`` of docs) and score of every row.
+def score(docs: DataFrame, model: dict, neighbours: int = 15, power: float = 16.0, block: int = 256) -> DataFrame:
+    """doc_id and score of every row.
 
     Null and empty texts are scored as empty; a null doc_id stays; other columns are ignored; no rows give no rows.
     """
-    if keep is not None:
-        return _score_keeping(docs, model, neighbours, power, block, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,22 +117,27 @@ def score(docs: DataFrame, model: dict, neighbours: int = 15, power: float = 16.
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, score double")
 
 
-def _score_keeping(docs: DataFrame, model: dict, neighbours: int, power: float, block: int, keep: list[str]) -> DataFrame:
+def accepted(docs: DataFrame, model: dict, least: float, neighbours: int = 15, power: float = 16.0, block: int = 256) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``, with all their columns, whatever these are called.
+
+    Null texts are scored as empty ones and stay null; a null doc_id stays; repeated rows are judged alike; no rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, block):
                 part = batch.slice(a, block)
-                x = np.stack([terms(t.as_py() or "") for t in part.column("text")])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vote(shared.value, x, neighbours, power))], [*part.schema.names, "score"])
+                x = np.stack([terms(t.as_py() or "") for t in part.column(at)])
+                yield part.filter(pa.array(vote(shared.value, x, neighbours, power) >= least))
 
-    rows = docs.select(*keep)
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """Documents whose crc32(doc_id as text) mod 5 is 0; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
