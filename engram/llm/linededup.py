@@ -1,211 +1,78 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join. DataFrame functions only.
 
 A line is the set of its words. It goes if an earlier line (ascending doc_id, then place in the text) has a set with Jaccard
 similarity of at least ``near[0] / near[1]``. Lines with the same set are settled by grouping; what is left is joined:
 
 * rarity: the words of the whole corpus are counted in ``CELLS`` cells by their hash, and a line's words are ordered by the
   class of their cell (twice the binary logarithm of its count), then by hash. Any fixed order gives exact results; this one
-  makes the first words rare. A word alone in its cell occurs once in the corpus, so no other line has it.
+  makes the first words rare.
 * prefix filter: of two similar sets, the larger has one of its first floor(n (1 - t)) + 1 words, and the smaller one of its
   first floor(n (1 - t) / (1 + t)) + 1 words, in common with the other.
 * length and positional filters: sizes must allow the similarity, and so must what follows the common word.
 * suffix bound: tokens that are common and stand in both prefixes are counted; all other common words stand behind the prefix that
   ends first, so the overlap is at most that count and what is left behind it.
-* bitmap filter: each set has a 64-bit parity sketch of its words; where two sketches differ in more bits than similar sets
+* bitmap filter: each set has a 128-bit parity sketch of its words; where two sketches differ in more bits than similar sets
   could differ in words, the pair is dropped. It never drops a similar pair.
 * verification: the Jaccard similarity of the whole lines, read again from the documents. One similar earlier line is enough, so
   the most promising pair of each set is tried first and the others only if it fails.
 
-Groups of many similar lines aren't listed pair by pair. First each set meets the earliest set that shares two neighbouring
-prefix words with it; sets that are similar to that one are settled. Only the others meet all sets with a common prefix word, and
+Groups of many similar lines aren't listed pair by pair. First each set meets the earliest and the most frequent set that share two
+neighbouring prefix words with it; sets that are similar to one of these are settled. Only the others meet all sets with a common prefix word, and
 only pairs that pass all filters leave the join. That join is done in ``SLICES`` parts of the words, so its shuffles never hold
 more than a part of the prefixes at once, and tables are deleted once nothing reads them.
-
-Words are split, hashed and ordered in Arrow batches with numpy: the higher-order functions that did this before took more than
-half of the time that the whole operator may take (figures in the README). Everything else is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, discard, fresh, materialize, read, small, text_of
 
-#: Cells of the word counts: one byte each where words are ordered, at most so many small rows to the driver, at any corpus size.
-CELL_BITS = 24
+#: Cells of the word counts: a byte each where words are ordered, and at most so many small rows to the driver, at any corpus size.
+CELL_BITS = 20
 NEAR = (4, 5)
 SLICES = 4
 #: Neighbouring prefix words that a set is settled by, and the mark of settled sets.
 SETTLING = 2
 SETTLED = 1 << 62
 BLANK = " \t\n\v\f\r"
-#: Bytes of text handled at once in a task.
-BLOCK = 1 << 20
-U = np.uint64
-_LOW = U((1 << 58) - 1)
-#: Bytes hashed at once, which fit a core's cache; powers of an odd number and of its inverse, and a random number for each byte value.
-CHUNK = 1 << 15
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.full(CHUNK, _BASE, U))
-_INVERSE = np.concatenate([[U(1)], np.cumprod(np.full(CHUNK - 1, pow(_BASE, -1, 1 << 64), U))])
-_BYTES = np.random.default_rng(10).integers(0, 1 << 64, 256, U)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
 def _spaced(text: Column) -> Column:
     """``text`` with all ASCII white space as spaces, as splitting at one plain character is much cheaper than at a pattern."""
     odd = text.contains("\t") | text.contains("\v") | text.contains("\f") | text.contains("\r")
     return F.when(odd, F.translate(text, BLANK[1:], "     ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[bytes]]]:
-    """Rows of a few documents at a time: their other columns, and their texts (the last column) as bytes."""
-    rows, texts, size = [], [], 0
-    for batch in batches:
-        other = zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True) if batch.num_columns > 1 else [()] * batch.num_rows
-        for row, text in zip(other, batch.columns[-1].cast(pa.binary()), strict=True):
-            rows.append(row)
-            texts.append(text.as_py())
-            size += len(texts[-1])
-            if size >= BLOCK:
-                yield rows, texts
-                rows, texts, size = [], [], 0
-    if rows:
-        yield rows, texts
-
-
-def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word starts, and a 64-bit hash of its bytes: a polynomial in them over random byte values, mixed."""
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    space = _SPACE[raw]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-    out, i = np.empty(len(starts), U), 0
-    while i < len(starts):
-        at = int(starts[i])
-        j = int(np.searchsorted(ends, at + CHUNK, side="right"))
-        if j == i:  # a word longer than a chunk
-            import xxhash
-
-            out[i] = xxhash.xxh3_64_intdigest(data[at : int(ends[i])])
-            i += 1
-            continue
-        sums = np.zeros(int(ends[j - 1]) - at + 1, U)
-        np.cumsum(_BYTES[raw[at : int(ends[j - 1])]] * _POWERS[: len(sums) - 1], out=sums[1:])
-        a, b = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = (sums[b] - sums[a]) * _INVERSE[a] + (b - a).astype(U)
-        i = j
-    return starts, _mix(out)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def rarity_classes(docs: DataFrame) -> np.ndarray:
-    """The class of each cell over all words of ``docs`` (text): 0 for a cell of at most one word, else twice the binary logarithm of the words in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            cells, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int32), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], ["cell", "n"])
-
-        for _, texts in _blocks(batches):
-            parts.append((_words(b"\n".join(texts))[1] >> U(64 - CELL_BITS)).astype(np.int32))
-            size += len(parts[-1])
-            if size > 1 << 22:
-                yield out()
-                parts, size = [], 0
-        yield out()
-
-    found = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-    table = found.select("cell", F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("byte").alias("kind")).toArrow()
-    classes = np.zeros(1 << CELL_BITS, np.uint8)
-    classes[table.column("cell").to_numpy()] = table.column("kind").to_numpy()
-    return classes
-
-
-def line_rows(texts: list[bytes], classes: np.ndarray, near: tuple[int, int]) -> dict[str, np.ndarray]:
-    """Sets of all lines with words of some texts: text, line_no, id, n, sketch; prefixes (skip words, then their words) and settling words with counts."""
-    num, den = near
-    data = b"\n".join(texts)
-    starts, h = _words(data)
-    line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
-    kind = classes[(h >> U(64 - CELL_BITS)).astype(np.int64)].astype(U)
-    # Words of a line by class, then by hash; first by a part of the hash, as one number.
-    key = (line.astype(U) << U(44)) | (kind << U(38)) | (h & U((1 << 38) - 1))
-    order = np.argsort(key) if len(line) and line[-1] < 1 << 20 else np.lexsort((h, h & U((1 << 38) - 1), kind, line))
-    k, x = key[order], h[order]
-    if ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
-        order = np.lexsort((h, h & U((1 << 38) - 1), kind, line))
-    rank, line = ((kind << U(58)) | (h & _LOW))[order], line[order]
-    fresh_word = np.concatenate([[True], (rank[1:] != rank[:-1]) | (line[1:] != line[:-1])])[: len(rank)]
-    rank, line = rank[fresh_word], line[fresh_word]
-    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
-    n = np.diff(np.append(first, len(line)))
-    at = np.arange(len(line)) - np.repeat(first, n)
-    most = n * (den - num) // den + 1
-    mixed = _mix(rank)
-    in_prefix = (at < np.repeat(most, n)) & (rank >> U(58) > 0)
-    prefix, of = rank[in_prefix], np.repeat(np.arange(len(n)), n)[in_prefix]
-    held = np.bincount(of, minlength=len(n))
-    # The least hashes of two neighbouring prefix words (of the word itself if it is alone).
-    mine = of[1:] == of[:-1]
-    alone = held[of] == 1
-    pair = np.concatenate([_mix(prefix[:-1] * U(0x9E3779B97F4A7C15) + prefix[1:])[mine], _mix(prefix[alone] * U(0x9E3779B97F4A7C15))])
-    whose = np.concatenate([of[:-1][mine], of[alone]])
-    order = np.lexsort((pair, whose))
-    pair, whose = pair[order], whose[order]
-    begin = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]])[: len(whose)])
-    few = np.arange(len(whose)) - np.repeat(begin, np.diff(np.append(begin, len(whose)))) < SETTLING
-    own = line[first]
-    size = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
-    text = np.searchsorted(np.cumsum(size), own, side="right")
-    return {
-        "text": text, "line_no": own - (np.cumsum(size) - size)[text], "n": n, "skip": most - held, "prefix": prefix, "held": held,
-        "id": _mix(np.add.reduceat(mixed, first)) if len(first) else mixed,
-        "sketch": np.bitwise_xor.reduceat(U(1) << (mixed & U(63)), first) if len(first) else mixed,
-        "settling": pair[few], "settlings": np.bincount(whose[few], minlength=len(n)),
-    }
-
-
-LINE = "key long, row long, line_no int, id long, n int, sketch long, skip int, prefix array<long>, settling array<long>"
-
+def _cell(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - CELL_BITS).cast("int")
 
-def _line_sets(held: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """A row for each line with words: its place and its set's id, size, sketch, prefix and settling words."""
-    classes = held.sparkSession.sparkContext.broadcast(rarity_classes(held))
 
-    def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(values.view(np.int64)))
+def rarity_classes(docs: DataFrame) -> Column:
+    """An array of the class of each cell: twice the binary logarithm of how many words of ``docs`` (text) fell in it."""
+    found = docs.select(F.explode(F.split(_spaced(F.col("text")), " ")).alias("w")).where("w <> ''").select(_cell(F.xxhash64("w")).alias("cell")).groupBy("cell")
+    classes = bytearray(1 << CELL_BITS)
+    for cell, kind in found.agg(F.least(F.lit(63), F.floor(2 * F.log2(F.count("*") + 1))).cast("int").alias("kind")).toLocalIterator():
+        classes[cell] = kind
+    return F.from_json(F.lit(str(list(classes))), "array<tinyint>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in _blocks(batches):
-            x = line_rows(texts, classes.value, near)
-            key, row = (np.array([r[k] for r in rows], np.int64)[x["text"]] for k in (0, 1))
-            whole = lambda a: pa.array(a.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key), pa.array(row), whole(x["line_no"]), pa.array(x["id"].view(np.int64)), whole(x["n"]), pa.array(x["sketch"].view(np.int64)), whole(x["skip"]),
-                    lists(x["prefix"], x["held"]), lists(x["settling"], x["settlings"]),
-                ],
-                [c.split()[0] for c in LINE.split(", ")],
-            )
 
-    return held.select("key", "row", "text").mapInArrow(run, LINE)
+def _line_sets(held: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """A row for each line with words: its place and its set's id, size, sketch and prefix."""
+    num, den = near
+    classes = rarity_classes(held)
+    lines = held.select("key", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(BLANK)) != "")
+    found = F.array_distinct(F.transform(F.split(_spaced(F.col("line")), " "), lambda w: F.xxhash64(w)))
+    rank = lambda h: F.shiftleft(F.get(classes, _cell(h)).cast("long"), 57).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))
+    lines = lines.select("key", "row", "line_no", F.sort_array(F.transform(F.array_remove(found, F.xxhash64(F.lit(""))), rank)).alias("tokens"))
+    bit = lambda h, k: F.call_function("shiftleft", F.shiftright(h, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - k)).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    half = lambda k: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h, k)))  # noqa: E731  words whose bit 6 is k
+    n = F.size("tokens")
+    return lines.select(
+        "key", "row", "line_no", F.xxhash64("tokens").alias("id"), n.alias("n"), half(0).alias("sketch"), half(1).alias("sketch2"),
+        F.slice("tokens", F.lit(1), F.floor(n * (den - num) / den).cast("int") + 1).alias("prefix"),
+    )
 
 
 def _unpacked(shape: Column) -> tuple[Column, Column]:
@@ -219,11 +86,16 @@ def _indexed(n: Column, at: Column, near: tuple[int, int]) -> Column:
     return at * (den + num) <= n * (den - num)
 
 
+def _differ(a: str, b: str) -> Column:
+    """The bits in which two sets' sketches differ, of which there are no more than words."""
+    return F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) + F.bit_count(F.col(f"{a}.sketch2").bitwiseXOR(F.col(f"{b}.sketch2")))
+
+
 def _alike(a: str, b: str, n: Column, m: Column, near: tuple[int, int]) -> Column:
     """Whether the sizes and sketches of two sets allow the similarity, ``b`` being in no later document."""
     num, den = near
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    differ = F.bit_count(x("sketch").bitwiseXOR(y("sketch")))
+    differ = _differ(a, b)
     size = (F.least(n, m) * den >= F.greatest(n, m) * num) & (differ * (num + den) <= (n + m) * (den - num))
     return (x("word") == y("word")) & (x("id") != y("id")) & (y("key") <= x("key")) & size
 
@@ -240,7 +112,7 @@ def _meetings(group: DataFrame, near: tuple[int, int]) -> DataFrame:
     most = F.least(at, to) + F.least(n - at, m - to)
     indexed = F.when(n < m, _indexed(n, at, near)).when(n > m, _indexed(m, to, near)).otherwise(_indexed(n, at, near) & _indexed(m, to, near))
     placed = (most * (num + den) >= (n + m) * num) & indexed
-    differ = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))).alias("differ")
+    differ = _differ("a", "b").alias("differ")
     both = group.alias("a").join(group.alias("b").hint("merge"), _alike("a", "b", n, m, near))
     both = both.select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), differ, placed.alias("placed"), n.alias("n"), m.alias("m"))
     return both.groupBy("later", "earlier").agg(F.count("*").alias("common"), F.bool_or("placed").alias("placed"), *(F.min(c).alias(c) for c in ("differ", "n", "m")))
@@ -279,7 +151,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, near: tuple[int, int]) -> Data
 
 def _pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
     """(later, earlier, differ) of the rows of ``a`` and ``b`` that may be similar; the sketches differ in ``differ`` bits."""
-    differ = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))).alias("differ")
+    differ = _differ("a", "b").alias("differ")
     return a.alias("a").join(b.alias("b").hint("merge"), on).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), differ).distinct()
 
 
@@ -298,21 +170,25 @@ def _settled(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[int
 
 def matched_sets(held: DataFrame, sets: DataFrame, near: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(id) of the sets to which an earlier, different one is similar, and ``sets`` without prefixes. ``sets`` is used up."""
-    able = sets.where(F.size("prefix") > 0)
-    own = able.select("id", "n", "sketch", "key", F.explode("settling").alias("word"))
-    hubs = own.groupBy("word").agg(F.count("*").alias("rows"), F.min(F.struct("key", "id", "n", "sketch")).alias("hub"))
-    hubs = materialize(hubs.where("rows > 1").select("word", "hub.*"), "line-hubs")
+    able = sets.where(F.col("n") * num >= (den - num) * den - den + num + 1)
+    neighbours = F.transform(F.sequence(F.lit(1), F.greatest(F.size("prefix") - 1, F.lit(1))), lambda i: F.xxhash64(F.slice("prefix", i, 2)))
+    settling = F.slice(F.sort_array(F.array_distinct(neighbours)), 1, SETTLING)
+    own = able.select("id", "n", "sketch", "sketch2", "key", "times", F.explode(settling).alias("word"))
+    hubs = own.groupBy("word").agg(F.count("*").alias("rows"), F.min(F.struct("key", "id", "n", "sketch", "sketch2")).alias("first"), F.max(F.struct("times", (-F.col("key")).alias("least"), "key", "id", "n", "sketch", "sketch2")).alias("top"))
+    top = F.struct("top.key", "top.id", "top.n", "top.sketch", "top.sketch2")
+    both = F.when(F.col("first.id") == F.col("top.id"), F.array("first")).otherwise(F.array(F.col("first"), top))
+    hubs = materialize(hubs.where("rows > 1").select("word", F.explode(both).alias("hub")).select("word", "hub.*"), "line-hubs")
     first = materialize(_pairs(own, hubs, _alike("a", "b", F.col("a.n"), F.col("b.n"), near)), "line-pairs")
     places = materialize(sets.select("id", "times", "key", "row", "line_no"), "line-places")
     settled = _settled(held, places, first, near)
     mark = F.when(F.col("done"), F.lit(SETTLED)).otherwise(F.lit(0))
     rest = able.join(settled.withColumn("done", F.lit(True)), "id", "left")
-    rest = materialize(rest.select("id", "sketch", "key", "skip", "prefix", (F.shiftleft(F.col("n").cast("long"), 24) + mark).alias("shape")), "line-prefixes")
+    rest = materialize(rest.select("id", "sketch", "sketch2", "key", "prefix", (F.shiftleft(F.col("n").cast("long"), 24) + mark).alias("shape")), "line-prefixes")
     discard(sets, hubs)
     second = []
     for part in range(SLICES):
-        group = rest.select("id", "sketch", "key", "skip", "shape", F.posexplode("prefix").alias("at", "word")).where(F.pmod("word", F.lit(SLICES)) == part)
-        group = group.select("word", "id", "sketch", "key", (F.col("shape") + F.col("skip") + F.col("at")).alias("shape"))
+        group = rest.select("id", "sketch", "sketch2", "key", "shape", F.posexplode("prefix").alias("at", "word")).where(F.pmod("word", F.lit(SLICES)) == part)
+        group = group.select("word", "id", "sketch", "sketch2", "key", (F.col("shape") + F.col("at")).alias("shape"))
         second.append(materialize(_meetings(group, near), "line-meetings"))
     discard(rest)
     listed = materialize(_met(second, near), "line-pairs")
@@ -332,7 +208,7 @@ def dedup_lines(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     row, removed_lines = fresh(docs, "row", "removed_lines")
     held = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64("doc_id", text_of()).alias("row"), text_of().alias("text"))
     wide = materialize(_line_sets(held, near), "lines")
-    kept = ("n", "sketch", "skip", "prefix", "settling")
+    kept = ("n", "sketch", "sketch2", "prefix")
     sets = wide.groupBy("id").agg(F.count("*").alias("times"), F.min(F.struct("key", "row", "line_no")).alias("place"), *(F.first(c).alias(c) for c in kept))
     sets = materialize(sets.select("id", "times", "place.*", *kept), "line-sets")
     lines = materialize(wide.select("id", "row", "line_no"), "line-ids")
