@@ -52,10 +52,11 @@ def _cell(h: Column) -> Column:
 def rarity_classes(docs: DataFrame) -> Column:
     """An array of the class of each cell: twice the binary logarithm of how many words of ``docs`` (text) fell in it."""
     found = docs.select(F.explode(F.split(_spaced(F.col("text")), " ")).alias("w")).where("w <> ''").select(_cell(F.xxhash64("w")).alias("cell")).groupBy("cell")
-    classes = bytearray(1 << CELL_BITS)
-    for cell, kind in found.agg(F.least(F.lit(63), F.floor(2 * F.log2(F.count("*") + 1))).cast("int").alias("kind")).toLocalIterator():
+    table = found.agg(F.least(F.lit(63), F.floor(2 * F.log2(F.count("*") + 1))).cast("int").alias("kind")).toArrow()
+    classes = [0] * (1 << CELL_BITS)
+    for cell, kind in zip(table.column("cell").to_pylist(), table.column("kind").to_pylist(), strict=True):
         classes[cell] = kind
-    return F.from_json(F.lit(str(list(classes))), "array<tinyint>")
+    return F.from_json(F.lit(str(classes)), "array<tinyint>")
 
 
 def _line_sets(held: DataFrame, near: tuple[int, int]) -> DataFrame:
@@ -170,6 +171,7 @@ def _settled(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[int
 
 def matched_sets(held: DataFrame, sets: DataFrame, near: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(id) of the sets to which an earlier, different one is similar, and ``sets`` without prefixes. ``sets`` is used up."""
+    num, den = near
     able = sets.where(F.col("n") * num >= (den - num) * den - den + num + 1)
     neighbours = F.transform(F.sequence(F.lit(1), F.greatest(F.size("prefix") - 1, F.lit(1))), lambda i: F.xxhash64(F.slice("prefix", i, 2)))
     settling = F.slice(F.sort_array(F.array_distinct(neighbours)), 1, SETTLING)
