@@ -1,6 +1,6 @@
 """All queries of the library, with the SQL of those that have one."""
 
-from . import modes  # noqa: F401  registers its queries
+from . import modes, records  # noqa: F401  they register their queries
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
