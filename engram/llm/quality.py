@@ -75,15 +75,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8192, dims: int
             sparse = [(np.flatnonzero(v), v) for v in map(terms, b.text)]
             yield pd.DataFrame({"doc_id": b.doc_id, "quality": b.quality, "at": [i for i, _ in sparse], "w": [v[i] for i, v in sparse]})
 
-    got = rows.mapInPandas(count, "doc_id long, quality int, at array<int>, w array<float>").toPandas().sort_values(["doc_id", "quality"])
-    x = np.zeros((len(got), TERMS), np.float32)
-    for k, (i, v) in enumerate(zip(got["at"], got["w"], strict=True)):
-        x[k, np.asarray(i, np.int64)] = v
-    idf = (1 + np.log((1 + len(x)) / (1 + (x > 0).sum(0)))).astype(np.float32)
-    x *= idf
-    _, directions = np.linalg.eigh(x.T.astype(np.float64) @ x)
-    axes = np.ascontiguousarray(directions[:, ::-1][:, :dims].astype(np.float32)) * idf[:, None]
-    return {"axes": axes, "known": _unit((x / idf) @ axes), "labels": got["quality"].to_numpy(np.float32)}
+    got = rows.mapInPandas(count, "doc_id long, quality int, at array<int>, w array<float>").toArrow().combine_chunks()
+    got = got.sort_by([("doc_id", "ascending"), ("quality", "ascending")]).combine_chunks()
+    n = got.num_rows
+    x = np.zeros((n, TERMS), np.float32)
+    for k, (i, v) in enumerate(zip(got.column("at"), got.column("w"), strict=True)):
+        x[k, i.values.to_numpy()] = v.values.to_numpy()
+    labels = got.column("quality").to_numpy().astype(np.float32)
+    del got
+    idf = (1 + np.log((1 + n) / (1 + np.count_nonzero(x, axis=0)))).astype(np.float32)
+    # In blocks, so the driver holds the sample once.
+    gram = np.zeros((TERMS, TERMS))
+    for k in range(0, n, 512):
+        part = (x[k : k + 512] * idf).astype(np.float64)
+        gram += part.T @ part
+    directions = np.linalg.eigh(gram)[1][:, ::-1][:, :dims].astype(np.float32)
+    del gram
+    axes = np.ascontiguousarray(directions) * idf[:, None]
+    return {"axes": axes, "known": _unit(x @ axes), "labels": labels}
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
