@@ -141,10 +141,8 @@ def disclosing(beside: DataFrame, protected: DataFrame, held: DataFrame, support
     pairs = pairs.agg(F.count("*").alias("n_both"), F.count_distinct("window").alias("windows")).where(F.col("windows") >= support)
     entities = protected.distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     letters = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    # Only terms that stand beside something often enough need counting.
+    known = texts.select(F.explode(letters).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     wanted = materialize(pairs, "pii-pairs")
-    terms = small(wanted.select("term").distinct())
-    known = texts.select(F.explode(letters).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     total = held.select("text_key").distinct().agg(F.count(F.lit(1)).alias("n_all"))
     prior = F.col("n_entity") / F.col("n_all")
     scored = wanted.join(entities, "entity").join(known, "term").crossJoin(F.broadcast(total))  # one row
