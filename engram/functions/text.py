@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,20 +116,3 @@ def normal_path(path: Column) -> Column:
 
 def slug(text: Column, size: int = 60) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, size)
-
-
-def python_glob(glob: str, path: str) -> bool:
-    """The same match for one path, for tests."""
-    out, i = "", 0
-    while i < len(glob):
-        if glob[i : i + 3] == "**/" and (i == 0 or glob[i - 1] == "/"):
-            out, i = out + "(?:.*/)?", i + 3
-        elif glob[i:] == "**" and (i == 0 or glob[i - 1] == "/"):
-            out, i = out + ".*", i + 2
-        elif glob[i] == "*":
-            while glob[i : i + 1] == "*":
-                i += 1
-            out += "[^/]*"
-        else:
-            out, i = out + {"?": "[^/]"}.get(glob[i], re.escape(glob[i])), i + 1
-    return re.fullmatch(out, path) is not None

@@ -5,10 +5,10 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lifecycle import BLOCK, CONFUSABLE, MAX_MATCH, safe
+from .lifecycle import BLOCK, CONFUSABLE, MAX_MATCH, cheap, safe
 
 #: What an extracted fact may be, and the keys it may have.
 ACTIONS = ("create", "reinforce", "supersede", "stale")
@@ -59,6 +59,12 @@ def ancestors(rows: DataFrame, save, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("lineage did not settle")
 
 
+def paths(chains: DataFrame) -> DataFrame:
+    """(id, ancestor_id, depth, path): the chain from each row to each of its ancestors, as ids joined by ``>``."""
+    upto = Window.partitionBy("id").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
+    return chains.select("id", "ancestor_id", "depth", F.concat_ws(">", "id", F.array_join(F.collect_list("ancestor_id").over(upto), ">")).alias("path"))
+
+
 def history(rows: DataFrame, chains: DataFrame) -> DataFrame:
     """(id, root_id, n_ancestors, n_descendants, replaced_by): a memory's place in its lineage; ``replaced_by`` is its earliest direct successor."""
     up = chains.groupBy("id").agg(F.count("*").alias("n_ancestors"), F.max_by("ancestor_id", F.struct("depth", "ancestor_id")).alias("root_id"))
@@ -117,20 +123,6 @@ def decomposed(text: Column) -> Column:
     return F.translate(nfkd(text), *CONFUSABLE)
 
 
-def cheap(text: Column, name: str) -> Column:
-    """A plain substring test that holds wherever the pattern ``name`` can match, so most texts never meet the pattern."""
-    word = NEEDS.get(name)
-    return text.contains(word) if word and word != word.lower() else F.lower(text).contains(word) if word else F.lit(True)
-
-
-#: A substring that every match of a pattern has, lower case if the pattern ignores case.
-NEEDS = {
-    "identity_override": "you", "system_prompt_override": "system", "always_do_imperative": "always", "from_now_on_always": "always", "reveal_system_instructions": "reveal", "generic_password_assignment": "password",
-    "generic_secret_assignment": "secret", "generic_token_assignment": "token", "curl_credential_exfiltration": "curl", "wget_credential_exfiltration": "wget", "sensitive_file_read": "cat", "ssh_backdoor_authorized_keys": "authorized_keys",
-    "ssh_private_key_reference": "id_rsa", "aws_access_key": "AKIA", "bearer_token": "Bearer", "openai_api_key": "sk-", "github_pat_classic": "ghp_", "github_pat_fine_grained": "gho_",
-}
-
-
 def all_threats(rows: DataFrame) -> DataFrame:
     """(id, name, category, match) of the whole scan of summary and details: each field, both together, and what base64 strings hide.
 

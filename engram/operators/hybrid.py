@@ -14,10 +14,10 @@ SCOPE_BOOST, RRF_K = 0.05, 60
 PREFIX_WEIGHT = 0.375
 
 
-def lexical_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, boosts: tuple[float, float] = (2.5, 1.0)) -> DataFrame:
+def lexical_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, boosts: tuple[float, float] = (2.5, 1.0), prefixes: bool = True) -> DataFrame:
     """(request_id, id, score) of BM25 over summary and details of ``docs`` (id, summary, details) for ``queries`` (request_id, query).
 
-    Any query term may match, as a whole term or as the beginning of one. All statistics are those of ``docs``. Both fields are
+    Any query term may match, as a whole term or, with ``prefixes``, as the beginning of one. All statistics are those of ``docs``. Both fields are
     tokenised in one pass; only terms that some query term begins are counted by document.
     """
     wanted = queries.select("request_id", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("q"))
@@ -26,7 +26,8 @@ def lexical_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: floa
     stats = tokens.groupBy("f").agg(F.avg("n").alias("mean"), F.count("*").alias("docs"))  # a row for each of the two fields
     tf = tokens.select("id", "f", "n", F.explode("t").alias("term")).groupBy("f", "term", "id", "n").agg(F.count("*").alias("tf"))
     df = tf.groupBy("f", "term").agg(F.count("*").alias("df"))
-    starts = df.select("f", "term", "df", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.substring(F.col("term"), F.lit(1), k))).alias("q"))
+    beginnings = F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.substring(F.col("term"), F.lit(1), k)) if prefixes else F.array("term")
+    starts = df.select("f", "term", "df", F.explode(beginnings).alias("q"))
     match = starts.join(wanted, "q").withColumn("weight", F.when(F.col("q") == F.col("term"), 1.0).otherwise(PREFIX_WEIGHT))
     idf = F.log(F.lit(1.0) + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     boost = F.when(F.col("f") == "s", boosts[0]).otherwise(boosts[1])

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import code_tokens
-
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product in element order; 0 if lengths differ."""
@@ -27,24 +25,11 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 64)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, boosts: tuple[float, float] = (2.5, 1.0)) -> DataFrame:
-    """(query_id, id, score, rank) by BM25 over the fields summary and details (boosted), OR of query terms.
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) by BM25 over the fields summary and details (boosted), OR of whole query terms."""
+    from .hybrid import lexical_scores
 
-    Terms that no query has are dropped before the shuffle. A document's score adds its fields' scores.
-    """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("term"))
-    n = docs.count()
-    out = None
-    for field, boost in zip(("summary", "details"), boosts, strict=True):
-        tokens = docs.select("id", code_tokens(F.col(field)).alias("t")).withColumn("len", F.size("t"))
-        mean = tokens.agg(F.avg("len")).first()[0] or 1.0
-        tf = tokens.select("id", "len", F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.col("len") * b / mean)) * boost
-        part = tf.join(df, "term").join(wanted, "term").select("query_id", "id", weight.alias("w"))
-        out = part if out is None else out.unionByName(part)
-    scored = out.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    scored = lexical_scores(docs, queries.withColumnRenamed("query_id", "request_id"), prefixes=False).withColumnRenamed("request_id", "query_id")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 

@@ -48,9 +48,11 @@ def sort_key() -> Column:
 def penalise_prefix(rows: DataFrame, factor: float = 0.7) -> DataFrame:
     """All but the best row of a request's scope prefix get ``factor`` of their score; an empty prefix is exempt."""
     prefix = F.split(F.regexp_replace("scope_glob", r"^(\./|/)", ""), "/")[0]
-    rows = rows.withColumn("prefix", prefix).withColumn("_k", sort_key())
-    place = F.row_number().over(Window.partitionBy("request_id", "prefix").orderBy("_k"))
-    return rows.withColumn("score", F.when((F.col("prefix") != "") & (place > 1), F.col("score") * factor).otherwise(F.col("score"))).drop("_k")
+    rows = rows.withColumn("prefix", prefix)
+    # The best row of a prefix is an aggregate: no task sorts a prefix that half of all memories share.
+    best = rows.groupBy("request_id", "prefix").agg(F.min_by("id", sort_key()).alias("best_id"))
+    out = rows.join(best, ["request_id", "prefix"])
+    return out.withColumn("score", F.when((F.col("prefix") != "") & (F.col("id") != F.col("best_id")), F.col("score") * factor).otherwise(F.col("score"))).drop("best_id")
 
 
 def select(rows: DataFrame, max_memories: int = MAX_MEMORIES, max_bytes: int = MAX_BYTES, quotas: dict[str, int] | None = None) -> DataFrame:
@@ -81,14 +83,24 @@ def select(rows: DataFrame, max_memories: int = MAX_MEMORIES, max_bytes: int = M
 
 
 def interleave(rows: DataFrame, group: str, order: list, cap: int | None = None) -> DataFrame:
-    """Round-robin over the groups of a request, groups by first appearance, at most ``cap`` rows of each; adds ``rank``."""
-    whole = Window.partitionBy("request_id").orderBy(*order)
-    rows = rows.withColumn("_pos", F.row_number().over(whole))
-    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("request_id", group).orderBy("_pos")))
-    rows = rows.withColumn("_first", F.min("_pos").over(Window.partitionBy("request_id", group)))
+    """Round-robin over the groups of a request, groups by first appearance, at most ``cap`` rows of each; adds ``rank``.
+
+    Rows are numbered within their group only. A row's rank follows from counts: the rows of all earlier rounds, and the earlier groups
+    of its own round, both from one small row for each request and round and for each request and group.
+    """
+    rows = rows.withColumn("_key", F.struct(*order))
+    own = Window.partitionBy("request_id", group).orderBy("_key")
+    rows = rows.withColumn("_rn", F.row_number().over(own))
     if cap:
         rows = rows.where(F.col("_rn") <= cap)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("_rn", "_first"))).drop("_pos", "_rn", "_first")
+    sizes = rows.groupBy("request_id", group).agg(F.min("_key").alias("_first"), F.max("_rn").alias("_size"))
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("_first"))
+    sizes = sizes.withColumn("_place", place)
+    # Rows before round r: of each group min(size, r - 1). Before a group in its round: the earlier groups that are as large.
+    ends = sizes.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("_place", "_size"))).alias("_groups"))  # a request's distinct groups
+    out = rows.join(sizes.select("request_id", group, "_place"), ["request_id", group]).join(ends, "request_id")
+    before = F.aggregate("_groups", F.lit(0), lambda a, g: a + F.least(g["_size"], F.col("_rn") - 1) + F.when((g["_place"] < F.col("_place")) & (g["_size"] >= F.col("_rn")), 1).otherwise(0))
+    return out.withColumn("rank", before + 1).drop("_key", "_rn", "_place", "_groups")
 
 
 def disclosure(rank: Column, activation_class: Column) -> Column:

@@ -60,7 +60,7 @@ def _chain(spark, sf) -> DataFrame:
 
 
 def _ancestors(spark, sf) -> DataFrame:
-    return changes.ancestors(_chain(spark, sf), lambda df: df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.cache())
+    return changes.ancestors(_chain(spark, sf), src.checkpointed)
 
 
 @query(f"with recursive {LINEAGE} select id, anc as ancestor_id, depth::int as depth from anc")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import evidence as ev
-from ..operators import lifecycle, reports, retrieval, selection
+from ..operators import changes, hybrid, lifecycle, reports, retrieval, selection
 from ..sources import adapters as src
 
 AS_OF = src.AS_OF
@@ -239,9 +239,12 @@ def query_router(spark, sf):
     return src.read(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", text.query_mode(F.col("text")).alias("mode"))
 
 
-@query("""select label, round(avg(x), 6) as mean, round(median(x), 6) as median, round(stddev_pop(x), 6) as stddev, round(min(x), 6) as least, round(max(x), 6) as most, count(*) as n from (select label, embedding[1]::double as x from embeddings) group by label""")
+@query(f"""with {COS} select label, round(avg(x), 6) as mean, round(median(x), 6) as median, round(stddev_pop(x), 6) as stddev, round(min(x), 6) as least, round(max(x), 6) as most, count(*) as n from (select label, round(score, 9) as x from cos) group by label""")
 def similarity_distribution(spark, sf):
-    rows = src.read(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"))
+    """How similar the queries are to the vectors of each label."""
+    q, v = _vectors(spark, sf)
+    scored = hybrid.dense_scores(q.withColumnRenamed("query_id", "request_id"), v).where("request_id != id")
+    rows = scored.join(src.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id").select("label", F.col("score").alias("x"))
     return reports.distribution(rows, "label", "x")
 
 
@@ -363,16 +366,16 @@ def buffer_batches(spark, sf):
     return reports.buffer_batches(src.read(spark, sf, "conversations"))
 
 
-@query(f"""with {M}, {E}, w as (select session_id, id, lag(created_at) over (partition by session_id order by created_at, id) as start_at, created_at as end_at from evidence where session_id % 20 = 0)
+@query(f"""with {M}, {E}, w as (select session_id, id, lag(created_at) over (partition by session_id order by created_at, id) as start_at, created_at as end_at from evidence)
 select w.session_id, count(*) as n_memories from w join memories m on m.created_at > coalesce(w.start_at, timestamp '1900-01-01') and m.created_at <= w.end_at group by w.session_id""")
 def session_windows(spark, sf):
     """Memories created within the windows between a session's consecutive events: a range join by day."""
     w = Window.partitionBy("session_id").orderBy("created_at", "id")
     day = lambda c: F.expr(f"cast({c} as date)")
     days = src.memories(spark, sf).groupBy(day("created_at").alias("day"), "created_at").agg(F.count("*").alias("n"))
-    first = days.agg(F.min("day")).first()[0]
-    wins = src.evidence(spark, sf).where("session_id % 20 = 0").select("session_id", F.lag("created_at").over(w).alias("start_at"), F.col("created_at").alias("end_at"))
-    start = F.greatest(F.coalesce(day("start_at"), F.lit(first)), F.lit(first))
+    first = days.agg(F.coalesce(F.min("day"), F.lit("1970-01-01").cast("date")).alias("first"))  # one row
+    wins = src.evidence(spark, sf).select("session_id", F.lag("created_at").over(w).alias("start_at"), F.col("created_at").alias("end_at")).crossJoin(F.broadcast(first))
+    start = F.greatest(F.coalesce(day("start_at"), F.col("first")), F.col("first"))
     wins = wins.where(start <= day("end_at")).withColumn("day", F.explode(F.sequence(start, day("end_at"))))
     hit = wins.join(days, "day").where((F.col("start_at").isNull() | (F.col("created_at") > F.col("start_at"))) & (F.col("created_at") <= F.col("end_at")))
     return hit.groupBy("session_id").agg(F.sum("n").alias("n_memories"))
@@ -389,17 +392,18 @@ def exact_dedup_hash(spark, sf):
 SAFE_SQL = "not (" + " or ".join(f"regexp_matches({f}, '{p if p.startswith('(?i)') else p}')" for f in ("summary", "details") for _, _, p in ((n, c, p.encode().decode("unicode_escape") if n == "invisible_unicode_character" else p) for n, c, p in lifecycle.BLOCK)) + ")"
 
 
-@query(f"""with {M}, n as (select 'm' || lpad((event_id % 1000)::varchar, 12, '0') as id, count(*) as n from events group by 1)
+@query(f"""with {M}, n as (select 'm' || lpad((event_id % (select count(*) from documents))::varchar, 12, '0') as id, count(*) as n from events group by 1)
 select id, case when created_at < timestamp '{AS_OF}' - interval 30 day then 'expired' when not ({SAFE_SQL}) then 'unsafe' when confidence < 85e-2 then 'low_confidence' when coalesce(n, 0) < 3 then 'little_evidence' when type = 'policy' then 'policy' when type not in ('pitfall','workflow') then 'type_not_allowed' else 'promoted' end as outcome from memories left join n using (id) where status = 'candidate'""")
 def promotion_gates(spark, sf):
-    counts = src.read(spark, sf, "events").groupBy(F.concat(F.lit("m"), F.lpad((F.col("event_id") % 1000).cast("string"), 12, "0")).alias("id")).agg(F.count("*").alias("n"))
+    total = src.read(spark, sf, "documents").agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))  # one row
+    number = F.lpad((F.col("event_id") % F.col("total")).cast("string"), 12, "0")
+    counts = src.read(spark, sf, "events").crossJoin(F.broadcast(total)).groupBy(F.concat(F.lit("m"), number).alias("id")).agg(F.count("*").alias("n"))
     return lifecycle.promotion(src.memories(spark, sf), counts, AS_OF)
 
 
-@query(f"""with {M} select id, count(*) as n_threats from (select id, unnest(flatten([{", ".join(f"regexp_extract_all({f}, '{p}')" for f in ("summary", "details") for _, _, p in lifecycle.BLOCK[1:])}])) as t from memories) group by id""")
+@query(f"""with {M} select id, count(*) as n_threats from (select id, unnest(flatten([{", ".join(f"regexp_extract_all({f}, '{p.encode().decode('unicode_escape') if n == 'invisible_unicode_character' else p}')" for f in ("summary", "details") for n, _, p in lifecycle.BLOCK)}])) as t from memories) group by id""")
 def security_threats(spark, sf):
-    t = lifecycle.threats(src.memories(spark, sf)).where("name != 'invisible_unicode_character'")
-    return t.groupBy("id").agg(F.count("*").alias("n_threats"))
+    return lifecycle.threats(src.memories(spark, sf)).groupBy("id").agg(F.count("*").alias("n_threats"))
 
 
 @query()
@@ -408,11 +412,12 @@ def security_warnings(spark, sf):
     return src.memories(spark, sf).select("id", F.array_join(lifecycle.warnings(F.col("details")), ",").alias("warnings"))
 
 
-@query(f"""with recursive {M}, chain as (select id, id as anc, supersedes_id as nxt, 0 as depth, [id] as path from memories where seq % 20 = 8
+@query(f"""with recursive {M}, chain as (select id, id as anc, supersedes_id as nxt, 0 as depth, [id] as path from memories
  union all select c.id, r.id, r.supersedes_id, c.depth + 1, list_append(c.path, r.id) from chain c join memories r on r.id = c.nxt where not list_contains(c.path, r.id))
  select id, anc as ancestor_id, depth::int as depth, array_to_string(path, '>') as path from chain where depth > 0""")
 def lineage_recursive(spark, sf):
-    return lifecycle.lineage(spark, src.memories(spark, sf), "seq % 20 = 8")
+    """The way from each memory to each of its ancestors."""
+    return changes.paths(changes.ancestors(src.memories(spark, sf).select("id", "supersedes_id"), src.checkpointed))
 
 
 @query(f"with {M} select id, status, case when status = 'stale' then 'demoted' when promotion_source = 'auto' and status = 'active' then 'revalidated' else 'kept' end as change, (validation_count + case when promotion_source = 'auto' and status = 'active' then 1 else 0 end)::int as validation_count from memories")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to ``spark.checkpoint.dir`` and read back. Only a local session without that setting gets a temporary folder."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.conf.get("engram.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="engram-")
+        spark.sparkContext.setCheckpointDir(folder)
+        spark.conf.set("engram.checkpoint.dir", folder)
+    return df.checkpoint()
+
+
 def _pick(values: tuple[str, ...], index) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
 
