@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, text_of, words
+from .common import fresh, read, text_of, words
 
 #: (rate, subsets): each of so many subsets keeps one lexicon term in ``rate``.
 SUBSETS = ((8, 4), (64, 8), (256, 20))
@@ -59,11 +59,13 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, terms: Column | None = None) -> DataFrame:
     """``docs`` with a column ``fingerprint`` (slots joined by a dot).
 
-    Null texts count as empty; only texts without words have no filled slot. Equal texts have equal fingerprints. Other columns stay.
+    Null texts count as empty; only texts without words have no filled slot. Equal texts have equal fingerprints. Other columns stay,
+    but for one called ``fingerprint``; rows are neither merged nor lost, whatever their ids; no rows give no rows.
     """
     terms = lexicon(docs).scalar() if terms is None else terms
-    own = docs.withColumn("_terms", F.array_intersect(terms, term_hashes(text_of())))
-    return own.withColumn("fingerprint", F.array_join(filled(F.col("_terms"), term_hashes(text_of())), ".")).drop("_terms")
+    (own,) = fresh(docs, "lexicon_terms")
+    rows = docs.withColumn(own, F.array_intersect(terms, term_hashes(text_of())))
+    return rows.withColumn("fingerprint", F.array_join(filled(F.col(own), term_hashes(text_of())), ".")).drop(own)
 
 
 def with_next(docs: DataFrame, rows_per_range: int = 64, max_ranges: int = 4096) -> DataFrame:

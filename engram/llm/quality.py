@@ -107,7 +107,8 @@ def vote(model: dict, x: np.ndarray, neighbours: int, power: float) -> np.ndarra
     k = min(neighbours, cos.shape[1])
     near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
     weight = np.maximum(np.take_along_axis(cos, near, 1), 1e-3).astype(np.float64) ** power
-    return np.clip((weight * model["labels"][near]).sum(1) / weight.sum(1), 0, 1)
+    # Rounded, as the same text may meet another order of sums in another block.
+    return np.round(np.clip((weight * model["labels"][near]).sum(1) / weight.sum(1), 0, 1), 9)
 
 
 def score(docs: DataFrame, model: dict, neighbours: int = 15, power: float = 16.0, block: int = 256) -> DataFrame:

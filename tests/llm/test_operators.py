@@ -198,14 +198,35 @@ def test_mixing(spark):
     rows = mixing.mix(docs).collect()
     assert all(r.taken <= 2 * r.size for r in rows)
     assert sorted(map(repr, rows)) == sorted(map(repr, mixing.mix(docs.repartition(7)).collect()))
-    total = {}
+    total, largest = {}, {}
     for r in rows:
-        total.setdefault((r.source_size, r.target), [0, 0])[0] += r.taken
+        total[r.source_size, r.target] = total.get((r.source_size, r.target), 0) + r.taken
+        largest[r.source_size, r.target] = max(largest.get((r.source_size, r.target), 0), r.size)
+    assert all(abs(taken - target) <= largest[size, target] for (size, target), taken in total.items())
     assert mixing.water_fill([10, 10, 10], [5, 2, 1], 1.5, 2.0) == [20.0, pytest.approx(50 / 3), pytest.approx(25 / 3)]
     flows = mixing.min_cost_flow([(10, (0,)), (10, (0, 1)), (10, (1,))], [15, 15], 2)
     assert [sum(f.get(s, 0) for f in flows) for s in (0, 1)] == [15, 15] and all(sum(f.values()) <= 10 for f in flows)
 
 
+def test_mixing_of_overlapping_sources(spark):
+    """A document may stand in several sources; the flow meets all quotas and takes second copies only where first ones run out."""
+    rows = [(i, "w " * 10, ["a"] if i < 40 else ["a", "b"] if i < 60 else ["b"] if i < 62 else ["c"]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own array<string>")
+    out = {r.doc_id: r for r in mixing.mix(docs, sources=F.col("own"), weights=(2, 1, 1), share=0.5).collect()}
+    # Sizes a 600, b 220, c 380; half of all is 600 words, by weight 300, 150, 150.
+    assert sum(r.taken for r in out.values()) == 600 and all(r.repeats <= 1 for r in out.values())
+    assert sum(out[i].taken for i in range(62, 100)) == 150
+    again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(5), sources=F.col("own"), weights=(2, 1, 1), share=0.5).collect()}
+    assert again == {i: r.taken for i, r in out.items()}
+    rnd = random.Random(3)
+    for _ in range(30):  # the largest flow, by the least cut over all sets of sources
+        sizes = [(rnd.randint(1, 30), tuple(sorted(rnd.sample(range(3), rnd.randint(1, 3))))) for _ in range(5)]
+        quotas = [rnd.randint(1, 40) for _ in range(3)]
+        flows = mixing.min_cost_flow(sizes, quotas, 2)
+        cut = min(sum(quotas[s] for s in range(3) if not m >> s & 1) + sum(2 * n for n, own in sizes if any(m >> s & 1 for s in own)) for m in range(8))
+        assert sum(sum(f.values()) for f in flows) == cut and all(sum(f.values()) <= 2 * n for f, (n, _) in zip(flows, sizes, strict=True))
+
+
 def test_jpeg(spark):
     for r in jpeg.media_columns(frame(spark, AWKWARD), keep_media=True).collect():
         raw = (AWKWARD[r.doc_id] or "").encode()
@@ -221,6 +242,60 @@ def test_quality(spark):
     assert auc > 0.85
 
 
+def test_quality_votes_equal_plain_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet").where(~quality.held_out()))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    axes, known, labels = model["axes"].astype(float), model["known"].astype(float), model["labels"]
+    for d in docs.collect()[:60]:
+        v = quality.terms(d.text or "").astype(float) @ axes
+        norm = max(math.sqrt(sum(x * x for x in v)), 1e-12)
+        near = sorted(((float(sum(a * b for a, b in zip(v / norm, k))), y) for k, y in zip(known, labels)), key=lambda x: -x[0])[:15]
+        weight = [max(c, 1e-3) ** 16 for c, _ in near]
+        assert math.isclose(got[d.doc_id], sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight), abs_tol=2e-3)
+
+
+def test_quality_of_awkward_rows(spark):
+    docs = frame(spark, AWKWARD, [None, *range(1, 9), 9, 9]).selectExpr("*", "'x' as score")
+    labels = spark.createDataFrame([(3, 1), (4, 0), (5, 1), (None, 1), (6, None), (99, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert len(model["labels"]) == 3
+    rows = quality.score(docs, model).collect()
+    assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert len(by[9]) == 1 and by[3] == by[4] and by[None] == by[1]  # equal texts, and null like empty
+    kept = quality.accepted(docs, model, 0.0)
+    assert kept.columns == docs.columns and kept.count() == len(AWKWARD) and {r.score for r in kept.collect()} == {"x"}
+    none = quality.fit(docs.limit(0), labels)
+    assert quality.score(docs.limit(0), none).collect() == [] and {r.score for r in quality.score(docs, none).collect()} == {0.5}
+    assert {r.held for r in docs.where("doc_id is null").select(quality.held_out().alias("held")).collect()} == {True}
+
+
+CLASHES = ("_id", "_row", "_removed", "_repeats", "_copy", "_text", "_key", "_spans", "_terms", "score", "_uid", "_node", "removed_lines", "mix_key", "mix_repeats", "place", "id", "n", "word", "hub")
+
+
+def test_stages_with_clashing_names_and_awkward_rows(spark):
+    import corpus_pipeline
+
+    ids = [None, *range(1, 9), 9, 9]
+    docs = frame(spark, AWKWARD, ids)
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHES), name
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+        if name == "lines":
+            assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, ids))
+            assert {r.doc_id: r.text for r in rows if r.doc_id is not None}[6] == "one two three four five six\nsolo" and [r.text for r in rows if r.doc_id is None] == [None]
+        if name == "near_duplicates":
+            assert len(rows) == 7  # one wordless, "a" once, "same text here" once
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
