@@ -6,8 +6,8 @@ similarity of at least ``near[0] / near[1]``. Lines with the same set are settle
 * rarity: the words of the whole corpus are counted in ``CELLS`` cells by their hash, and a line's words are ordered by the
   class of their cell (twice the binary logarithm of its count), then by hash. Any fixed order gives exact results; this one
   makes the first words rare.
-* prefix filter: of two similar sets, the larger has one of its first floor(n (1 - t)) + 1 words, and the smaller one of its
-  first floor(n (1 - t) / (1 + t)) + 1 words, in common with the other.
+* prefix filter: two similar sets have one of their first floor(n (1 - t)) + 1 words in common. Rows of the join carry these words, so
+  a pair comes out of it once, at the first word that both have.
 * length and positional filters: sizes must allow the similarity, and so must what follows the common word.
 * suffix bound: tokens that are common and stand in both prefixes are counted; all other common words stand behind the prefix that
   ends first, so the overlap is at most that count and what is left behind it.
@@ -17,7 +17,7 @@ similarity of at least ``near[0] / near[1]``. Lines with the same set are settle
   the most promising pair of each set is tried first and the others only if it fails.
 
 Groups of many similar lines aren't listed pair by pair. First each set meets the earliest and the most frequent set that share two
-neighbouring prefix words with it; sets that are similar to one of these are settled. Only the others meet all sets with a common prefix word, and
+neighbouring prefix words with it; sets that are similar to one of these are settled. What is left tries more words and more hubs, chosen by hash. Only the others meet all sets with a common prefix word, and
 only pairs that pass all filters leave the join. That join is done in ``SLICES`` parts of the words, so its shuffles never hold
 more than a part of the prefixes at once, and tables are deleted once nothing reads them.
 """
@@ -29,14 +29,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, discard, fresh, materialize, read, small, text_of
+from .common import columns_of, discard, fresh, materialize, read, text_of
 
 #: Cells of the word counts: a byte each where words are ordered, and at most so many small rows to the driver, at any corpus size.
 CELL_BITS = 20
 NEAR = (4, 5)
-SLICES = 4
-#: Neighbouring prefix words that a set is settled by, and the mark of settled sets.
-SETTLING = 2
+SLICES = 8
+#: Rounds of settling: pairs of neighbouring prefix words that a set is settled by, and seeds of further hubs of each pair.
+SETTLING = ((2, ()), (6, (1, 2, 3, 4, 5, 6)))
+#: The mark of settled sets.
 SETTLED = 1 << 62
 BLANK = " \t\n\v\f\r"
 def _spaced(text: Column) -> Column:
@@ -81,12 +82,6 @@ def _unpacked(shape: Column) -> tuple[Column, Column]:
     return F.shiftright(shape, 24), shape.bitwiseAND(F.lit((1 << 24) - 1))
 
 
-def _indexed(n: Column, at: Column, near: tuple[int, int]) -> Column:
-    """Whether a place is in the prefix that a set needs towards larger ones."""
-    num, den = near
-    return at * (den + num) <= n * (den - num)
-
-
 def _differ(a: str, b: str) -> Column:
     """The bits in which two sets' sketches differ, of which there are no more than words."""
     return F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) + F.bit_count(F.col(f"{a}.sketch2").bitwiseXOR(F.col(f"{b}.sketch2")))
@@ -102,31 +97,20 @@ def _alike(a: str, b: str, n: Column, m: Column, near: tuple[int, int]) -> Colum
 
 
 def _meetings(group: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """Pairs of sets that share a prefix word and may be similar by size and sketch: (later, earlier), the bits in which their
-    sketches differ, the prefix words of ``group`` that they share, and whether one of these passes the positional filter.
+    """(later, earlier, differ) of the pairs that share a prefix word of ``group`` and pass all filters, each at its first common prefix word only.
 
     The mark of a settled set stays in its size as the later one, so it fails the length filter. (A filter of that side alone
     would go below the exchange, and both sides would be shuffled instead of one.)
     """
     num, den = near
     (n, at), (m, to) = _unpacked(F.col("a.shape")), _unpacked(F.col("b.shape").bitwiseAND(F.lit(SETTLED - 1)))
-    most = F.least(at, to) + F.least(n - at, m - to)
-    indexed = F.when(n < m, _indexed(n, at, near)).when(n > m, _indexed(m, to, near)).otherwise(_indexed(n, at, near) & _indexed(m, to, near))
-    placed = (most * (num + den) >= (n + m) * num) & indexed
-    differ = _differ("a", "b").alias("differ")
-    both = group.alias("a").join(group.alias("b").hint("merge"), _alike("a", "b", n, m, near))
-    both = both.select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), differ, placed.alias("placed"), n.alias("n"), m.alias("m"))
-    return both.groupBy("later", "earlier").agg(F.count("*").alias("common"), F.bool_or("placed").alias("placed"), *(F.min(c).alias(c) for c in ("differ", "n", "m")))
-
-
-def _met(parts: list[DataFrame], near: tuple[int, int]) -> DataFrame:
-    """(later, earlier, differ) of the meetings in all ``parts`` that pass the positional filter and the suffix bound."""
-    num, den = near
-    whole = reduce(DataFrame.unionByName, parts).groupBy("later", "earlier")
-    whole = whole.agg(F.sum("common").alias("common"), F.bool_or("placed").alias("placed"), *(F.min(c).alias(c) for c in ("differ", "n", "m")))
-    behind = lambda c: F.col(c) - F.floor(F.col(c) * (den - num) / den) - 1
-    most = F.col("common") + F.greatest(behind("n"), behind("m"))
-    return whole.where(F.col("placed") & (most * (num + den) >= (F.col("n") + F.col("m")) * num)).select("later", "earlier", "differ")
+    need = lambda most: most * (num + den) >= (n + m) * num  # noqa: E731  whether so many common words are enough
+    common = F.array_intersect("a.prefix", "b.prefix")
+    behind = lambda c: c - F.floor(c * (den - num) / den) - 1
+    on = _alike("a", "b", n, m, near) & need(F.least(at, to) + F.least(n - at, m - to))
+    on = on & (F.get(common, F.lit(0)) == F.col("a.word")) & need(F.size(common) + F.greatest(behind(n), behind(m)))
+    both = group.alias("a").join(group.alias("b").hint("merge"), on)
+    return both.select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), _differ("a", "b").alias("differ"))
 
 
 def _texts(held: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -134,7 +118,7 @@ def _texts(held: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
     places = sets.join(ids.distinct(), "id").groupBy("key", "row").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
     cut = F.split("text", "\n")
     lines = F.transform("places", lambda p: F.struct(p["id"].alias("id"), p["line_no"].alias("line_no"), F.get(F.col("cut"), p["line_no"]).alias("line")))
-    found = held.drop("key").join(small(materialize(places, "line-held")), "row").select("key", "row", "places", cut.alias("cut")).select("key", "row", F.explode(lines).alias("p"))
+    found = held.drop("key").join(places, "row").select("key", "row", "places", cut.alias("cut")).select("key", "row", F.explode(lines).alias("p"))
     # Rows that are equal give the same line several times.
     return materialize(found.select("p.id", F.struct("key", "row", "p.line_no").alias("place"), "p.line").dropDuplicates(["id"]), "line-texts")
 
@@ -169,31 +153,44 @@ def _settled(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[int
     return found.unionByName(more)
 
 
+def _hub_pairs(able: DataFrame, todo: DataFrame, keys: int, seeds: tuple[int, ...], near: tuple[int, int]) -> DataFrame:
+    """Pairs of the sets ``todo`` with hubs: of all sets that share a pair of neighbouring prefix words, the earliest, the most frequent, and one for each seed."""
+    neighbours = F.transform(F.sequence(F.lit(1), F.greatest(F.size("prefix") - 1, F.lit(1))), lambda i: F.xxhash64(F.slice("prefix", i, 2)))
+    settling = F.explode(F.slice(F.sort_array(F.array_distinct(neighbours)), 1, keys)).alias("word")
+    own = able.select("id", "n", "sketch", "sketch2", "key", "times", settling)
+    fields = ("key", "id", "n", "sketch", "sketch2")
+    some = [F.min(F.struct(*fields)).alias("hub0"), F.max(F.struct("times", (-F.col("key")).alias("least"), *fields)).alias("hub1")]
+    some += [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("rank"), *fields)).alias(f"hub{k + 1}") for k in seeds]
+    hubs = own.groupBy("word").agg(F.count("*").alias("rows"), *some).where("rows > 1")
+    each = F.array_distinct(F.array(*(F.struct(*(F.col(f"hub{k}.{c}").alias(c) for c in fields)) for k in range(2 + len(seeds)))))
+    hubs = materialize(hubs.select("word", F.explode(each).alias("hub")).select("word", "hub.*"), "line-hubs")
+    mine = own if todo is able else todo.select("id", "n", "sketch", "sketch2", "key", settling)
+    pairs = materialize(_pairs(mine, hubs, _alike("a", "b", F.col("a.n"), F.col("b.n"), near)), "line-pairs")
+    discard(hubs)
+    return pairs
+
+
 def matched_sets(held: DataFrame, sets: DataFrame, near: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(id) of the sets to which an earlier, different one is similar, and ``sets`` without prefixes. ``sets`` is used up."""
     num, den = near
     able = sets.where(F.col("n") * num >= (den - num) * den - den + num + 1)
-    neighbours = F.transform(F.sequence(F.lit(1), F.greatest(F.size("prefix") - 1, F.lit(1))), lambda i: F.xxhash64(F.slice("prefix", i, 2)))
-    settling = F.slice(F.sort_array(F.array_distinct(neighbours)), 1, SETTLING)
-    own = able.select("id", "n", "sketch", "sketch2", "key", "times", F.explode(settling).alias("word"))
-    hubs = own.groupBy("word").agg(F.count("*").alias("rows"), F.min(F.struct("key", "id", "n", "sketch", "sketch2")).alias("first"), F.max(F.struct("times", (-F.col("key")).alias("least"), "key", "id", "n", "sketch", "sketch2")).alias("top"))
-    top = F.struct("top.key", "top.id", "top.n", "top.sketch", "top.sketch2")
-    both = F.when(F.col("first.id") == F.col("top.id"), F.array("first")).otherwise(F.array(F.col("first"), top))
-    hubs = materialize(hubs.where("rows > 1").select("word", F.explode(both).alias("hub")).select("word", "hub.*"), "line-hubs")
-    first = materialize(_pairs(own, hubs, _alike("a", "b", F.col("a.n"), F.col("b.n"), near)), "line-pairs")
     places = materialize(sets.select("id", "times", "key", "row", "line_no"), "line-places")
-    settled = _settled(held, places, first, near)
+    settled = None
+    for keys, seeds in SETTLING:
+        todo = able if settled is None else able.join(settled, "id", "left_anti")
+        found = _settled(held, places, _hub_pairs(able, todo, keys, seeds, near), near)
+        settled = found if settled is None else settled.unionByName(found)
     mark = F.when(F.col("done"), F.lit(SETTLED)).otherwise(F.lit(0))
     rest = able.join(settled.withColumn("done", F.lit(True)), "id", "left")
     rest = materialize(rest.select("id", "sketch", "sketch2", "key", "prefix", (F.shiftleft(F.col("n").cast("long"), 24) + mark).alias("shape")), "line-prefixes")
-    discard(sets, hubs)
+    discard(sets)
     second = []
     for part in range(SLICES):
-        group = rest.select("id", "sketch", "sketch2", "key", "shape", F.posexplode("prefix").alias("at", "word")).where(F.pmod("word", F.lit(SLICES)) == part)
-        group = group.select("word", "id", "sketch", "sketch2", "key", (F.col("shape") + F.col("at")).alias("shape"))
+        group = rest.select("id", "sketch", "sketch2", "key", "shape", "prefix", F.posexplode("prefix").alias("at", "word")).where(F.pmod("word", F.lit(SLICES)) == part)
+        group = group.select("word", "id", "sketch", "sketch2", "key", "prefix", (F.col("shape") + F.col("at")).alias("shape"))
         second.append(materialize(_meetings(group, near), "line-meetings"))
     discard(rest)
-    listed = materialize(_met(second, near), "line-pairs")
+    listed = materialize(reduce(DataFrame.unionByName, second), "line-pairs")
     discard(*second)
     return settled.unionByName(_settled(held, places, listed, near)), places
 
