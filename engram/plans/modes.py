@@ -65,8 +65,9 @@ def _staged(spark, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     sizes = layer.groupBy("request_id").agg(F.count("*").alias("n"))
     limits = _requests(spark, sf).join(sizes, "request_id", "left").select("request_id", (selection.MAX_MEMORIES - F.coalesce("n", F.lit(0))).alias("most"))
     able = rows.where("has_query and activation_class <> 'baseline' and (scope_ref = '.' or in_scope)").select("request_id", "id", "in_scope")
-    found = _activation(hybrid.retrieve(able, limits, *_lists(spark, sf)), rows)
-    return rows, found, modes.staged(rows, found)
+    # A few rows a request, which several steps read: written once instead of searched again.
+    found = src.checkpointed(_activation(hybrid.retrieve(able, limits, *_lists(spark, sf)), rows))
+    return rows, found, src.checkpointed(modes.staged(rows, found))
 
 
 def _final(spark, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -244,12 +245,12 @@ def _matched(spark, sf, most: int, least: int = 0) -> DataFrame:
 def _by_session(spark, sf, chosen: DataFrame, per: int) -> tuple[DataFrame, DataFrame]:
     """Rows of the requests' windows, and the best ``per`` of each window: (request_id, session_id, place, id, score, rank)."""
     rows = modes.in_windows(_rows(spark, sf).where("has_query"), modes.with_start(chosen, summaries(spark, sf)))
-    part = rows.withColumn("asked", F.col("request_id")).withColumn("request_id", F.col("request_id") * 1_000_000 + F.col("place"))
+    part = src.checkpointed(rows.withColumn("asked", F.col("request_id")).withColumn("request_id", F.col("request_id") * 1_000_000 + F.col("place")))
     able = part.select("request_id", "asked", "id", "in_scope")
     keys = able.select("request_id", "asked").distinct()
     spread = lambda x: x.withColumnRenamed("request_id", "asked").join(keys, "asked").select("request_id", "id", "score")
     found = hybrid.retrieve(able.drop("asked"), keys.select("request_id", F.lit(per).alias("most")), *map(spread, _lists(spark, sf)))
-    return part, _activation(found, part)
+    return part, src.checkpointed(_activation(found, part))
 
 
 MATCHED = "near as (select q.request_id, s.session_id, round(list_sum(list_transform(generate_series(1, len(v.embedding)), lambda i: v.embedding[i]::double * q.embedding[i]::double)), 9) as score from qv q, win s join embeddings v on v.vec_id = s.session_id), mt0 as (select *, row_number() over (partition by request_id order by score desc, session_id) as place from near qualify place <= {most})"
