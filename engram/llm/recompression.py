@@ -9,8 +9,8 @@ existence depends on its surroundings is tracked exactly (``low``, ``high``): a
 Round one is global over high-level symbols. Each window is represented by one symbol it knows, the longest; equal windows
 choose the same, so a window whose symbol occurs nowhere else as such cannot be repeated. Windows that know no symbol stand
 for themselves. Round two is global over the few windows left and compares 96-bit names of their
-whole word sequences. Both go through ``repeated``: occurrences are shuffled as packed arrays by hash bucket, each task thins
-its own repeats first, so neither a hot passage nor a hot document gathers anywhere.
+whole word sequences. Both go through ``repeated``: occurrences are shuffled as packed arrays by hash bucket, and a task sorts the
+occurrences of its bucket; a hot passage fills one bucket, so the number of buckets has to follow the shuffle partitions of the job.
 
 Documents with the same words (at least a window of them) are settled by a hash of the whole sequence: every window of theirs
 is repeated. One of them still takes part, with all its windows counted twice.
