@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .imatch import op5_imatch
+from .interaction import OP13_SQL, op13_interaction
 from .jpeg import op9_jpeg_media
 from .linededup import OP10_SQL, op10_line_dedup
 from .mixing import op6_mixing
@@ -11,17 +12,23 @@ from .pii import op7_pii
 from .ppm import op4_ppm
 from .quality import op8_quality
 from .recompression import op2_recompression
+from .resample import OP12_SQL, op12_resampling
 from .rules import OP11_SQL, op11_quality_rules
 from .simhash import op3_simhash
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_recompression, op3_simhash, op4_ppm, op5_imatch, op6_mixing, op7_pii, op8_quality, op9_jpeg_media, op10_line_dedup, op11_quality_rules)
-}
+    for f in (
+        op1_packing, op2_recompression, op3_simhash, op4_ppm, op5_imatch, op6_mixing, op7_pii, op8_quality, op9_jpeg_media, op10_line_dedup,
+        op11_quality_rules, op12_resampling, op13_interaction,
+    )
+}
 
 ORACLE_SQL = {
     "op10_line_dedup": OP10_SQL,
     "op11_quality_rules": OP11_SQL,
+    "op12_resampling": OP12_SQL,
+    "op13_interaction": OP13_SQL,
     "op2_recompression": r"""
 with w as (
     select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents
