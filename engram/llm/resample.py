@@ -50,7 +50,11 @@ def gains(corpus: DataFrame, target: DataFrame, orders: tuple[int, int], buckets
     """(bucket, gain) of the buckets that ``corpus`` (text) has; at most ``buckets`` rows come to the driver."""
     if buckets > MOST_BUCKETS:
         raise ValueError(f"at most {MOST_BUCKETS} buckets")
-    count = lambda df: {r.bucket: r.n for r in grams(df, orders, buckets).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+
+    def count(df: DataFrame) -> dict[int, int]:
+        found = grams(df.select(F.monotonically_increasing_id().alias("row"), "text"), orders, buckets, "row").where("bucket is not null")
+        return {r.bucket: r.n for r in found.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+
     s, t = count(corpus), count(target)
     all_s, all_t = sum(s.values()), sum(t.values())
     gain = lambda b: math.floor(scale * math.log(float(t.get(b, 0) + 1) * float(all_s + buckets) / (float(s[b] + 1) * float(all_t + buckets))))
