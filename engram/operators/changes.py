@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lifecycle import BLOCK, CONFUSABLE, MAX_MATCH, cheap, safe
+from .scan import with_safety
 
 #: What an extracted fact may be, and the keys it may have.
 ACTIONS = ("create", "reinforce", "supersede", "stale")
@@ -35,7 +32,8 @@ def replaced(memories: DataFrame, pairs: DataFrame, status: str) -> DataFrame:
 
 def promotable(memories: DataFrame, least: float) -> DataFrame:
     """(id, outcome) of candidates in a batch promotion: promoted, unsafe, or low_confidence."""
-    return memories.where("status = 'candidate'").select("id", F.when(F.col("confidence") < least, "low_confidence").when(~safe(), "unsafe").otherwise("promoted").alias("outcome"))
+    rows = with_safety(memories.where("status = 'candidate'"))
+    return rows.select("id", F.when(F.col("confidence") < least, "low_confidence").when(~F.col("safe"), "unsafe").otherwise("promoted").alias("outcome"))
 
 
 def ancestors(rows: DataFrame, save, most_rounds: int = 40) -> DataFrame:
@@ -108,50 +106,3 @@ def confidences(facts: DataFrame, memories: DataFrame, step: float = 0.05, most:
     status = F.when(F.col("last.action") == "supersede", "superseded").when(F.col("last.action") == "stale", "stale").otherwise(F.col("status"))
     raised = F.when(F.col("n") > 0, F.greatest("confidence", F.least(F.lit(most), F.col("confidence") + F.col("n") * step))).otherwise(F.col("confidence"))
     return g.join(memories, g["target_id"] == memories["id"]).select("id", status.alias("status"), raised.alias("confidence"))
-
-
-# ---- scanner -------------------------------------------------------------------------------------------------------
-
-
-def decomposed(text: Column) -> Column:
-    """Compatibility decomposition, then look-alikes as Latin letters. Only texts with other than ASCII characters go to Python, in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def nfkd(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFKD", x) if x is not None and not x.isascii() else x)
-
-    return F.translate(nfkd(text), *CONFUSABLE)
-
-
-def all_threats(rows: DataFrame) -> DataFrame:
-    """(id, name, category, match) of the whole scan of summary and details: each field, both together, and what base64 strings hide.
-
-    A pattern that only matches across both fields counts once; base64 counts for credentials only.
-    """
-    held = rows.select("id", *(F.coalesce(decomposed(F.col(c)), F.lit("")).alias(c) for c in ("summary", "details")))
-    held = held.withColumn("both", F.concat_ws(" ", "summary", "details"))
-    cut = lambda x: F.substring(x, 1, MAX_MATCH)
-
-    def hits(c: str, where: str, some: tuple = BLOCK, prefix: str = "") -> Column:
-        def part(name: str, kind: str, p: str) -> Column:
-            row = lambda m: F.struct(F.lit(prefix + name).alias("name"), F.lit(kind).alias("category"), cut(F.concat(F.lit(where), m)).alias("match"))
-            return F.when(cheap(F.col(c), name), F.transform(F.regexp_extract_all(F.col(c), F.lit(p), F.lit(0)), row))
-
-        parts = [part(*x) for x in some]
-        none = F.from_json(F.lit("[]"), "array<struct<name:string,category:string,match:string>>")
-        return F.flatten(F.array(*(F.coalesce(x, none) for x in parts)))
-
-    own = F.concat(hits("summary", "summary: "), hits("details", "details: "))
-    held = held.select("id", own.alias("own"), hits("both", "cross-field: summary: ").alias("cross"), F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9+/]{40,}={0,2}"), F.lit(0)) for c in ("summary", "details")))).alias("coded"))
-    once = F.filter("cross", lambda x: ~F.exists("own", lambda y: (y["name"] == x["name"]) & (y["category"] == x["category"])))
-    # Of several cross-field matches of a pattern the first counts.
-    names = F.array_distinct(F.transform(once, lambda x: x["name"]))
-    first = F.transform(names, lambda n: F.get(F.filter(once, lambda x: x["name"] == n), F.lit(0)))
-    found = held.select("id", F.explode(F.concat("own", first)).alias("t")).select("id", "t.*")
-    # Lenient decoding: what is left over after whole groups of four is filled up.
-    bare = F.regexp_replace("code", "=+$", "")
-    whole = F.when(F.length(bare) % 4 == 1, F.expr("left(regexp_replace(code, '=+$', ''), length(regexp_replace(code, '=+$', '')) - 1)")).otherwise(F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), "="))
-    plain = held.select("id", F.explode("coded").alias("code")).select("id", F.decode(F.try_to_binary(whole, F.lit("base64")), "UTF-8").alias("plain")).where("plain is not null")
-    keys = tuple(x for x in BLOCK if x[1] == "credential_pattern")
-    hidden = plain.select("id", F.explode(hits("plain", "base64-decoded: details: ", keys, "base64_encoded_")).alias("t")).select("id", "t.*")
-    return found.unionByName(hidden)

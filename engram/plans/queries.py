@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import evidence as ev
-from ..operators import changes, hybrid, lifecycle, reports, retrieval, selection
+from ..operators import changes, hybrid, lifecycle, reports, retrieval, scan, selection
 from ..sources import adapters as src
 
 AS_OF = src.AS_OF
@@ -389,11 +389,33 @@ def exact_dedup_hash(spark, sf):
     return lifecycle.exact_dedup(src.memories(spark, sf))
 
 
-SAFE_SQL = "not (" + " or ".join(f"regexp_matches({f}, '{p if p.startswith('(?i)') else p}')" for f in ("summary", "details") for _, _, p in ((n, c, p.encode().decode("unicode_escape") if n == "invisible_unicode_character" else p) for n, c, p in lifecycle.BLOCK)) + ")"
+_re = lambda n, p: p.encode().decode("unicode_escape") if n == "invisible_unicode_character" else p
+
+
+def hits_sql(field: str, where: str, some=scan.BLOCK, prefix: str = "") -> str:
+    """A list of the matches of block patterns in ``field``."""
+    parts = (f"list_transform(regexp_extract_all({field}, '{_re(n, p)}'), lambda x: {{'name': '{prefix}{n}', 'category': '{c}', 'match': left('{where}' || x, 100)}})" for n, c, p in some)
+    return f"flatten([{', '.join(parts)}])"
+
+
+#: Base64 strings of both fields as texts: a rest of one character dropped, padding filled up. Other bytes than ASCII show as escapes here, which no pattern meets.
+_BARE = "list_transform(list_concat(regexp_extract_all(summary, '[A-Za-z0-9+/]{40,}={0,2}'), regexp_extract_all(details, '[A-Za-z0-9+/]{40,}={0,2}')), lambda c: rtrim(c, '='))"
+_FULL = f"list_transform({_BARE}, lambda b: case length(b) % 4 when 0 then b when 1 then left(b, length(b) - 1) else b || repeat('=', 4 - length(b) % 4) end)"
+
+
+def scan_sql(rows: str) -> str:
+    """The relation ``rows`` (summary, details and others) with the list column threats."""
+    own = f"list_concat({hits_sql('summary', 'summary: ')}, {hits_sql('details', 'details: ')})"
+    both = hits_sql("(summary || ' ' || details)", "cross-field: summary: ")
+    names = lambda c: f"list_transform({c}, lambda y: y.name)"
+    first = f"list_filter(cr, lambda x, i: not list_contains({names('own')}, x.name) and list_position({names('cr')}, x.name) = i)"
+    hidden = f"flatten(list_transform(plain, lambda t: {hits_sql('t', 'base64-decoded: details: ', scan.KEYS, 'base64_encoded_')}))"
+    plain = f"list_transform({_FULL}, lambda b: from_base64(b)::varchar)"
+    return f"(select * exclude (own, cr, plain), list_concat(own, {first}, {hidden}) as threats from (select *, {own} as own, {both} as cr, {plain} as plain from {rows}))"
 
 
 @query(f"""with {M}, n as (select 'm' || lpad((event_id % (select count(*) from documents))::varchar, 12, '0') as id, count(*) as n from events group by 1)
-select id, case when created_at < timestamp '{AS_OF}' - interval 30 day then 'expired' when not ({SAFE_SQL}) then 'unsafe' when confidence < 85e-2 then 'low_confidence' when coalesce(n, 0) < 3 then 'little_evidence' when type = 'policy' then 'policy' when type not in ('pitfall','workflow') then 'type_not_allowed' else 'promoted' end as outcome from memories left join n using (id) where status = 'candidate'""")
+select id, case when created_at < timestamp '{AS_OF}' - interval 30 day then 'expired' when len(threats) > 0 then 'unsafe' when confidence < 85e-2 then 'low_confidence' when coalesce(n, 0) < 3 then 'little_evidence' when type = 'policy' then 'policy' when type not in ('pitfall','workflow') then 'type_not_allowed' else 'promoted' end as outcome from {scan_sql('memories')} left join n using (id) where status = 'candidate'""")
 def promotion_gates(spark, sf):
     total = src.read(spark, sf, "documents").agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))  # one row
     number = F.lpad((F.col("event_id") % F.col("total")).cast("string"), 12, "0")
@@ -401,15 +423,16 @@ def promotion_gates(spark, sf):
     return lifecycle.promotion(src.memories(spark, sf), counts, AS_OF)
 
 
-@query(f"""with {M} select id, count(*) as n_threats from (select id, unnest(flatten([{", ".join(f"regexp_extract_all({f}, '{p.encode().decode('unicode_escape') if n == 'invisible_unicode_character' else p}')" for f in ("summary", "details") for n, _, p in lifecycle.BLOCK)}])) as t from memories) group by id""")
+@query(f"with {M} select id, len(threats) as n_threats from {scan_sql('memories')} where len(threats) > 0")
 def security_threats(spark, sf):
-    return lifecycle.threats(src.memories(spark, sf)).groupBy("id").agg(F.count("*").alias("n_threats"))
+    """How many threats the scan finds in each memory that isn't safe."""
+    return scan.scanned(src.memories(spark, sf).select("id", "summary", "details")).where("size(threats) > 0").select("id", F.size("threats").cast("long").alias("n_threats"))
 
 
 @query()
 def security_warnings(spark, sf):
     """Warnings by text; the repetition rule needs a back reference, which the checking SQL engine lacks."""
-    return src.memories(spark, sf).select("id", F.array_join(lifecycle.warnings(F.col("details")), ",").alias("warnings"))
+    return src.memories(spark, sf).select("id", F.array_join(scan.warnings(F.col("details")), ",").alias("warnings"))
 
 
 @query(f"""with recursive {M}, chain as (select id, id as anc, supersedes_id as nxt, 0 as depth, [id] as path from memories
