@@ -95,19 +95,21 @@ def mix(
     cap: float = 2.0,
     seed: int = 0,
     max_patterns: int = 20_000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many words of each of ``docs`` the mix takes: doc_id, size, source_size, target, taken, repeats.
 
     ``sources``: an array of the sources of a document (by default its ``source`` alone; null is a source of its own, last in
     order). ``weights`` repeat over the sources in code-point order. Size: words of the text; a null or empty text has 0 and
     is never taken. source_size and target: sums over the document's sources. Repeated rows are rows of their own; a null
-    doc_id stays; equal doc_ids are ordered by size. The driver holds one row per pattern; more than ``max_patterns`` is an
+    doc_id stays; equal doc_ids are ordered by size, then by the columns ``carry``, which come out again. The driver holds one row per pattern; more than ``max_patterns`` is an
     error, not a cut. No rows give no rows.
     """
     members = F.array(F.col("source")) if sources is None else sources
     sized = materialize(
         docs.select(
             "doc_id",
+            *carry,
             F.array_sort(F.array_distinct(members)).alias("pattern"),
             F.size(F.array_remove(F.split(text_of(), SPACE), "")).cast("long").alias("size"),
         ).select("*", F.xxhash64("doc_id", F.lit(seed)).alias("rank")).withColumn("bucket", F.pmod("rank", F.lit(BUCKETS)).cast("int")),
@@ -146,7 +148,7 @@ def mix(
     plan = plan.join(F.broadcast(edge), same(plan, edge), "left").select(plan.pattern, "source_size", "target", "full", F.coalesce("edge", F.lit(-1)).alias("edge"), F.coalesce("need", F.lit(0)).alias("need"))
     rows = sized.join(F.broadcast(plan), same(sized, plan)).drop(plan.pattern)
     sure = rows.where("bucket != edge").withColumn("more", (F.col("bucket") < F.col("edge")).cast("long"))
-    order = Window.partitionBy("pattern").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("pattern").orderBy("rank", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     at_edge = (
         rows.where("bucket = edge")
         .withColumn("upto", F.sum("size").over(order))
@@ -156,8 +158,8 @@ def mix(
     repeats = F.when(F.col("size") > 0, F.col("full") + F.col("more")).otherwise(F.lit(0)).alias("repeats")
     return (
         sure.unionByName(at_edge)
-        .select("doc_id", "size", "source_size", "target", repeats)
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+        .select("doc_id", *carry, "size", "source_size", "target", repeats)
+        .select("doc_id", *carry, "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
     )
 
 
