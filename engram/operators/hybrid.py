@@ -5,34 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import code_tokens
+from . import index
 from .retrieval import dot
 
 #: What a scope match adds to a fused score, and the constant of rank fusion.
 SCOPE_BOOST, RRF_K = 0.05, 60
-#: Weight of a term that only begins with a query term; published BM25 leaves it open.
-PREFIX_WEIGHT = 0.375
 
 
-def lexical_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, boosts: tuple[float, float] = (2.5, 1.0), prefixes: bool = True) -> DataFrame:
-    """(request_id, id, score) of BM25 over summary and details of ``docs`` (id, summary, details) for ``queries`` (request_id, query).
+def lexical_scores(docs: DataFrame, queries: DataFrame, prefixes: bool = True) -> DataFrame:
+    """(request_id, id, score) of BM25 over summary and details of ``docs`` (id, summary, details) for ``queries`` (request_id, query), without an index.
 
-    Any query term may match, as a whole term or, with ``prefixes``, as the beginning of one. All statistics are those of ``docs``. Both fields are
-    tokenised in one pass; only terms that some query term begins are counted by document.
+    Any query term may match, as a whole term or, with ``prefixes``, as the beginning of one. All statistics are those of ``docs``, so the
+    whole table is tokenised; ``index.search`` reads a stored index instead.
     """
-    wanted = queries.select("request_id", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("q"))
-    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(c).alias("text")) for f, c in (("s", "summary"), ("d", "details")))))
-    tokens = docs.select("id", fields.alias("x")).select("id", "x.f", code_tokens(F.col("x.text")).alias("t")).withColumn("n", F.size("t"))
-    stats = tokens.groupBy("f").agg(F.avg("n").alias("mean"), F.count("*").alias("docs"))  # a row for each of the two fields
-    tf = tokens.select("id", "f", "n", F.explode("t").alias("term")).groupBy("f", "term", "id", "n").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("f", "term").agg(F.count("*").alias("df"))
-    beginnings = F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.substring(F.col("term"), F.lit(1), k)) if prefixes else F.array("term")
-    starts = df.select("f", "term", "df", F.explode(beginnings).alias("q"))
-    match = starts.join(wanted, "q").withColumn("weight", F.when(F.col("q") == F.col("term"), 1.0).otherwise(PREFIX_WEIGHT))
-    idf = F.log(F.lit(1.0) + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    boost = F.when(F.col("f") == "s", boosts[0]).otherwise(boosts[1])
-    hit = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.col("n") * b / F.greatest("mean", F.lit(1e-9)))) * boost * F.col("weight")
-    return match.join(tf, ["f", "term"]).join(F.broadcast(stats), "f").groupBy("request_id", "id").agg(F.round(F.sum(hit), 6).alias("score"))
+    by_id = index.tokens(docs)
+    postings = by_id.where("term is not null")
+    dictionary = postings.groupBy("term", "f").agg(F.count("*").alias("df"))
+    stats = by_id.where("term is null").groupBy("f").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    return index.scores(index.matching(dictionary, index.wanted_terms(queries), prefixes), postings, stats)
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame, blocks: int = 8) -> DataFrame:

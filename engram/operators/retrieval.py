@@ -25,11 +25,8 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 64)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) by BM25 over the fields summary and details (boosted), OR of whole query terms."""
-    from .hybrid import lexical_scores
-
-    scored = lexical_scores(docs, queries.withColumnRenamed("query_id", "request_id"), prefixes=False).withColumnRenamed("request_id", "query_id")
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows (query_id, id, score) of each query, with their rank."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import glob_regex
-from ..operators import hybrid, modes, retrieval, selection
+from ..operators import hybrid, index, modes, retrieval, selection
 from ..sources import adapters as src
 from .queries import AS_OF, BYTES, LEX, M, R, SCORE, query
 
@@ -48,7 +48,8 @@ def _lists(spark, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     m = selection.gates(src.memories(spark, sf), AS_OF).where("kind is null").select("id", "seq", "summary", "details")
     full = hybrid.dense_scores(q, m.join(e, F.col("seq") == F.col("vec_id")).select("id", "vec"))
     brief = hybrid.dense_scores(q, m.join(e, F.col("seq") + 7 == F.col("vec_id")).select("id", "vec"))
-    return full, brief, hybrid.lexical_scores(m, r.select("request_id", "query"))
+    words = index.shared(spark, sf, "eligible", lambda: m.select("id", "summary", "details"))
+    return full, brief, index.search(words, r.select("request_id", "query"), save=src.checkpointed)
 
 
 def _activation(found: DataFrame, rows: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import evidence as ev
-from ..operators import changes, hybrid, lifecycle, reports, retrieval, scan, selection
+from ..operators import changes, hybrid, index, lifecycle, reports, retrieval, scan, selection
 from ..sources import adapters as src
+from ..sources.store import Store
 
 AS_OF = src.AS_OF
 QUERIES: dict = {}
@@ -194,6 +195,11 @@ tok as (select id, f, list_filter(raw, lambda x: x <> '') as t from toks),
 qtok as (select item_id as query_id, unnest(list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[\s\pP]+'), lambda x: x <> ''))) as term from benchmark where item_id % 20 = 0)"""
 
 
+def all_memories(spark, sf: str) -> Store:
+    """The stored index of all memories."""
+    return index.shared(spark, sf, "all", lambda: src.memories(spark, sf).select("id", "summary", "details"))
+
+
 def _lexical_queries(spark, sf) -> DataFrame:
     return src.read(spark, sf, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -203,8 +209,9 @@ df as (select f, term, count(*) as df from tf group by all),
 w as (select query_id, id, ln(1e0 + ((select count(*) from memories) - df + 5e-1) / (df + 5e-1)) * tf * 22e-1 / (tf + 12e-1 * (25e-2 + n * 75e-2 / m)) * case f when 's' then 25e-1 else 1e0 end as w from tf join df using (f, term) join mean using (f) join qtok using (term)),
 s as (select query_id, id, round(sum(w), 6) as score from w group by all) select query_id, id, round(score, 4) as score, row_number() over (partition by query_id order by score desc, id)::int as rank from s qualify rank <= 10""")
 def bm25_topk(spark, sf):
-    docs = src.memories(spark, sf).select("id", "summary", "details")
-    return retrieval.bm25_topk(docs, _lexical_queries(spark, sf), 10).withColumn("score", F.round("score", 4))
+    """Words of the queries looked up in the stored index of all memories."""
+    scored = index.search(all_memories(spark, sf), _lexical_queries(spark, sf).withColumnRenamed("query_id", "request_id"), prefixes=False, save=src.checkpointed)
+    return retrieval.best(scored.withColumnRenamed("request_id", "query_id"), 10).withColumn("score", F.round("score", 4))
 
 
 @query(f"""with {TOP}, a as (select query_id, id, rank from top where rank <= 20), b as (select query_id, id, row_number() over (partition by query_id order by id desc)::int as rank from top where rank <= 30 qualify row_number() over (partition by query_id order by id desc) <= 20),

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Store
+
 AS_OF = "2024-02-01 00:00:00"
 TYPES = ("policy", "workflow", "pitfall", "architecture_constraint", "decision")
 STATUSES = ("active", "active", "active", "active", "active", "candidate", "superseded", "stale")
@@ -29,18 +32,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read back. Only a local session without that setting gets a temporary folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.conf.get("engram.checkpoint.dir", None):
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share. Only a local session without that setting gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("engram.checkpoint.dir", None)
+    if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="engram-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("engram.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def store(spark: SparkSession, name: str) -> Store:
+    """A new, empty store in the shared folder."""
+    return Store(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def _pick(values: tuple[str, ...], index) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
 
