@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.adapters import checkpointed
+from . import nearest
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product in element order; 0 if lengths differ."""
@@ -12,17 +15,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), total).otherwise(0.0)
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 64) -> DataFrame:
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, groups: int = 1) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` best of ``vectors`` (id, vec) for each of ``queries`` (query_id, vec), self excluded.
 
-    Queries travel in blocks of ``block``; each block meets each vector once, and the window keeps ``k`` rows a query before
-    it shuffles, so what is shuffled is k rows a query and task.
+    In blocks of matrix products; with several ``groups`` those that can't hold a better vector are left out (``nearest``).
     """
-    held = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(queries.count()) / block) + 1).alias("b")).agg(F.collect_list(F.struct("query_id", "vec")).alias("qs"))
-    pairs = vectors.join(held.hint("shuffle_replicate_nl") if held.limit(1001).count() > 1000 else F.broadcast(held), F.lit(True))
-    scored = pairs.select("id", F.explode(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), dot(q["vec"], F.col("vec")).alias("score")))).alias("s")).select("s.query_id", "id", "s.score").where("id != query_id")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return nearest.topk(queries, vectors, k, checkpointed, groups).select("query_id", "id", "score", "rank")
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:

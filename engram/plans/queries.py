@@ -184,6 +184,12 @@ def cosine_topk(spark, sf):
     return retrieval.cosine_topk(*_vectors(spark, sf), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"with {TOP} select query_id, id, round(score, 6) as score, rank from top where rank <= 10")
+def cosine_topk_pruned(spark, sf):
+    """The same by groups around centroids, of which each query visits those whose bound allows a better vector."""
+    return retrieval.cosine_topk(*_vectors(spark, sf), 10, groups=32).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"with {TOP} select query_id, id as nearest_id, score > 85e-2 as is_duplicate from top where rank = 1")
 def near_dup_gate(spark, sf):
     """Whether a new vector is a near duplicate: its nearest other vector has a cosine above 0.85."""
