@@ -53,7 +53,8 @@ def centroids(vectors: DataFrame, dims: int, groups: int, seed: int = 0, rounds:
                 np.add.at(total, own, x)
                 n += np.bincount(own, minlength=len(now))
             some = np.flatnonzero(n)
-            yield pd.DataFrame({"g": some, "n": n[some], "total": list(total[some])})
+            if len(some):
+                yield pd.DataFrame({"g": some, "n": n[some], "total": list(total[some])})
 
         each = vectors.select("vec").mapInPandas(sums, "g int, n double, total array<double>")
         added = each.select("g", "n", F.posexplode("total").alias("at", "x")).groupBy("g", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()  # groups x dims numbers
@@ -147,3 +148,50 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int, save: Callable[[DataFra
         width *= growth
     out = state.select("query_id", "compared", F.posexplode("best").alias("place", "b"))
     return out.select("query_id", "b.id", (-F.col("b.low") + 0.0).alias("score"), (F.col("place") + 1).alias("rank"), "compared")
+
+
+def meet(queries: DataFrame, vectors: DataFrame, least: float, how: Callable[[list, np.ndarray, np.ndarray], pd.DataFrame], schema: str, save: Callable[[DataFrame], DataFrame], groups: int = 1, seed: int = 0) -> DataFrame:
+    """Rows that ``how(query_ids, ids, near)`` makes of each block of ``queries`` (query_id, vec) with each block of ``vectors`` (id, vec) that may be near.
+
+    ``near`` is a matrix: whether a dot product is above ``least``. Blocks whose bound isn't above it don't meet. Ids needn't be unique.
+    """
+    first = vectors.where("size(vec) > 0").select(F.size("vec").alias("n")).first()
+    dims = first.n if first else 1
+    centres = centroids(vectors, dims, groups, seed) if groups > 1 else np.zeros((1, dims))
+    held = save(blocks(vectors, centres))
+    radii = {r.g: r.radius for r in held.groupBy("g").agg(F.max("radius").alias("radius")).collect()}  # a row a group
+    radius = np.array([radii.get(g, -np.inf) for g in range(len(centres))])
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            q = _matrix(b.vec, dims)
+            yield pd.DataFrame({"query_id": b.query_id, "qvec": list(q), "size": np.linalg.norm(q, axis=1), "home": _nearest(q, centres)})
+
+    # Queries travel in blocks too, as many as they need, each with one centre and radius of its own.
+    kind = queries.schema["query_id"].dataType.simpleString()
+    placed = queries.select("query_id", "vec").mapInPandas(assign, f"query_id {kind}, qvec array<double>, size double, home int")
+    placed = placed.withColumn("part", F.floor(F.monotonically_increasing_id() / QUERIES))
+    packed = placed.groupBy("home", "part").agg(F.collect_list("query_id").alias("qids"), F.collect_list("qvec").alias("qvecs"))
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples():
+                q = _matrix(row.qvecs, dims)
+                # The least radius at which a group can hold a vector that is near one of these queries.
+                need = ((least - q @ centres.T) / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None]).min(axis=0) - 1e-9
+                some = [int(g) for g in np.flatnonzero(radius >= need)]
+                qids, qvecs = list(row.qids), q.ravel().tolist()
+                if some:
+                    yield pd.DataFrame({"qids": [qids] * len(some), "qvecs": [qvecs] * len(some), "g": some, "need": need[some]})
+
+    sent = packed.mapInPandas(visits, f"qids array<{kind}>, qvecs array<double>, g int, need double")
+    pairs = sent.join(held, "g").where("radius >= need").select("qids", "qvecs", "ids", "vecs")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples():
+                near = np.round(np.asarray(row.qvecs).reshape(-1, dims) @ _matrix(row.vecs, dims).T, DIGITS) > least
+                if near.any():
+                    yield how(list(row.qids), np.asarray(row.ids), near)
+
+    return pairs.mapInPandas(run, schema)

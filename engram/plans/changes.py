@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import changes, lifecycle, scan
+from ..operators import changes, fold, lifecycle, scan
 from ..sources import adapters as src
 from .queries import M, query, scan_sql
 
@@ -112,6 +112,47 @@ def extraction_effects(spark, sf):
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
+#: Near copies among the facts of the given tables: their vectors are those of conversations, far less alike than real copies.
+NEAR = 0.3
+
+
+def _folded(spark, sf: str) -> fold.Applied:
+    """All facts, in the order of turns, applied to all memories; a fact has the vector numbered by its conversation and turn."""
+    e = src.read(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), F.col("embedding").alias("vec"))
+    facts = changes.extracted(_responses(spark, sf)).withColumn("k", F.floor(F.col("id") / 1000) + F.col("id") % 1000)
+    facts = facts.join(e, "k", "left").select((F.col("id") * 1000 + F.col("nth")).alias("place"), "action", "summary", "details", "type", "target_id", "confidence", "vec")
+    memories = src.memories(spark, sf).join(e, F.col("seq") == F.col("k"), "left").drop("k")
+    return fold.apply_actions(facts, memories, src.checkpointed, NEAR, groups=8)
+
+
+FOLD_SQL = f"""{FACTS}, near as (select a.vec_id as k, b.vec_id as other from embeddings a, embeddings b where a.vec_id <= (select max(conv_id + turn) from conversations)
+ and round(list_sum(list_transform(generate_series(1, len(a.embedding)), lambda i: a.embedding[i]::double * b.embedding[i]::double)), 9) > {NEAR}),
+act as (select f.id * 1000 + nth as place, action, f.type, target_id, f.confidence, k, m.id is not null as found, m.status, m.type as old_type, m.scope_glob, m.confidence as old_confidence from (select facts.*, raw.k from facts join raw using (id)) f left join memories m on m.id = f.target_id),
+ends as (select target_id, min(place) as stop from act where found and action in ('supersede', 'stale') group by 1),
+old as (select seq as k, coalesce(stop, 4611686018427387904) as stop from memories left join ends on target_id = id where status in ('active', 'candidate')),
+able as (select place, k, row_number() over (order by place) as nth from act a where action = 'create'
+  and not exists (select 1 from near join old on old.k = near.other where near.k = a.k and old.stop > a.place) and not exists (select 1 from near join act g on g.k = near.other where near.k = a.k and g.action = 'supersede' and g.found and g.place < a.place)),
+lists as (select able.*, coalesce(list(other), []) as others from able left join near using (k) group by all),
+walk as (select 0::bigint as nth, []::bigint[] as ks, []::bigint[] as made union all
+  select w.nth + 1, case when list_has_any(w.ks, l.others) then w.ks else list_append(w.ks, l.k) end, case when list_has_any(w.ks, l.others) then w.made else list_append(w.made, l.place) end from walk w join lists l on l.nth = w.nth + 1),
+made as (select unnest(max_by(made, nth)) as place from walk)"""
+
+
+@query(f"""with recursive {M}, {FOLD_SQL}, r as (select act.*, case when action = 'create' then case when place not in (select place from made) then 'Duplicate' end when target_id is null then 'No target' when not found then 'Target not found' end as reason from act)
+select place, action, case when reason is not null then case when action <> 'create' then target_id end when action in ('create', 'supersede') then 'n' || lpad(place::varchar, 19, '0') else target_id end as memory_id, reason is not null as skipped, reason from r""")
+def extraction_fold(spark, sf):
+    """What becomes of each fact, applied one after another: near copies of what is there at that moment are left out."""
+    return _folded(spark, sf).outcomes
+
+
+@query(f"""with recursive {M}, {FOLD_SQL} select 'n' || lpad(place::varchar, 19, '0') as id, coalesce(type, 'workflow') as type, '**/*' as scope_glob, 'candidate' as status, round(coalesce(confidence, 7e-1)::double, 6) as confidence, null::varchar as supersedes_id from act where place in (select place from made)
+ union all select 'n' || lpad(a.place::varchar, 19, '0'), coalesce(type, old_type), scope_glob, 'candidate',
+  round(coalesce(confidence::double, (select case when count(*) > 0 then least(99e-2, a.old_confidence + count(*) * 5e-2) else a.old_confidence end from act b where b.target_id = a.target_id and b.action = 'reinforce' and b.place < a.place)), 6), target_id from act a where action = 'supersede' and found""")
+def extraction_created(spark, sf):
+    """The memories that the facts create, anew or as replacements."""
+    return _folded(spark, sf).created.select("id", "type", "scope_glob", "status", F.round("confidence", 6).alias("confidence"), "supersedes_id")
+
+
 # ---- scan ----------------------------------------------------------------------------------------------------------
 
 
