@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import changes, fold, lifecycle, scan
+from ..operators import changes, fold, lifecycle, lineage, scan
 from ..sources import adapters as src
 from .queries import M, query, scan_sql
 
@@ -75,6 +75,19 @@ def lineage_history(spark, sf):
     return changes.history(_chain(spark, sf), _ancestors(spark, sf))
 
 
+#: A tree of all memories: each but the first replaces the one at a third of its number.
+TREE = "tree as (select 'm' || lpad(doc_id::varchar, 12, '0') as id, case when doc_id > 0 then 'm' || lpad(((doc_id - 1) // 3)::varchar, 12, '0') end as supersedes_id, timestamp '2024-01-31' - to_days((doc_id % 40)::int) as created_at from documents)"
+
+
+@query(f"""with recursive {TREE}, kin as (select id, supersedes_id, created_at, row_number() over (partition by supersedes_id order by created_at, id) as nth from tree),
+down as (select k.supersedes_id as focus, k.id, 1 as depth, [k.nth] as way from kin k where k.supersedes_id in (select id from tree) union all select d.focus, k.id, d.depth + 1, list_append(d.way, k.nth) from down d join kin k on k.supersedes_id = d.id)
+select focus, row_number() over (partition by focus order by way) as position, id, depth::int as depth from down""")
+def lineage_preorder(spark, sf):
+    """The descendants of every memory in depth-first order."""
+    rows = src.memories(spark, sf).select("id", F.when(F.col("seq") > 0, mid(F.floor((F.col("seq") - 1) / 3))).alias("supersedes_id"), "created_at")
+    return lineage.descendants(src.checkpointed(lineage.positions(rows, src.checkpointed)), rows)
+
+
 # ---- extraction ----------------------------------------------------------------------------------------------------
 
 ACTS = ("create", "reinforce", "supersede", "stale", "forget")
