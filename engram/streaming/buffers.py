@@ -1,4 +1,4 @@
-"""Streams of events: count-triggered buffers, per-session counters, and the evidence pipeline on micro-batches."""
+"""Streams of events: count-triggered buffers by conversation, counts by time window, and the evidence pipeline on micro-batches."""
 
 from __future__ import annotations
 
