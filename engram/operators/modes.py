@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
 from .selection import MAX_BYTES, MAX_MEMORIES, QUOTAS
 
 #: Rows and bytes of the baseline layer; what a listed tool and a recent session add; the share a repeated prefix keeps.
@@ -105,20 +106,28 @@ def balanced(chosen: DataFrame, explore: DataFrame, most: int = MAX_MEMORIES, li
     return listed.select("request_id", F.inline(F.concat(ranked, left)))
 
 
-def with_start(chosen: DataFrame, summaries: DataFrame) -> DataFrame:
+def with_start(chosen: DataFrame, summaries: DataFrame, save: ordered.Save) -> DataFrame:
     """``chosen`` (request_id, session_id, ended_at, ...) with ``start_at``: the creation of the summary before it, null for the first.
 
-    ``chosen`` holds a few sessions for each request, so it is the side that meets all summaries.
+    Summaries are put in order once (``ordered.previous``); a session finds its start by its id.
     """
-    mine = chosen.select("request_id", "session_id", "ended_at")
-    other = summaries.select(F.col("session_id").alias("other"), "created_at")
-    earlier = (F.col("created_at") < F.col("ended_at")) | ((F.col("created_at") == F.col("ended_at")) & (F.col("other") < F.col("session_id")))
-    starts = other.join(F.broadcast(mine), earlier).groupBy("request_id", "session_id").agg(F.max("created_at").alias("start_at"))
-    return chosen.join(starts, ["request_id", "session_id"], "left")
+    before = ordered.previous(summaries.select("created_at", "session_id"), ["created_at", "session_id"], ["created_at"], save)
+    return chosen.join(before.select("session_id", F.col("prev.created_at").alias("start_at")), "session_id", "left")
 
 
-def in_windows(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``rows`` (request_id, created_at, ...) that were created in one of the request's windows: later than ``start_at``, up to ``ended_at``."""
+def in_windows(rows: DataFrame, chosen: DataFrame, save: ordered.Save, parts: int = 1024) -> DataFrame:
+    """``rows`` (request_id, created_at, ...) that were created in one of the request's windows: later than ``start_at``, up to ``ended_at``.
+
+    The time that the windows span is cut into ``parts`` bins; a window is listed in each bin that it touches, a row is in one, and
+    they are joined by request and bin. A window without a start reaches to the bin before all others.
+    """
+    w = save(chosen)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    span = w.agg(F.min(F.least(F.coalesce(micros("start_at"), micros("ended_at")), micros("ended_at"))).alias("low"), F.max(micros("ended_at")).alias("high")).first()
+    low, width = span.low or 0, max(1, -(-((span.high or 0) - (span.low or 0) + 1) // parts))
+    bin_ = lambda c: F.greatest(F.lit(-1), F.floor((micros(c) - F.lit(low)) / F.lit(width))).cast("long")
+    w = w.withColumn("_bin", F.explode(F.sequence(F.coalesce(bin_("start_at"), F.lit(-1).cast("long")), bin_("ended_at"))))
     inside = (F.col("w.start_at").isNull() | (F.col("r.created_at") > F.col("w.start_at"))) & (F.col("r.created_at") <= F.col("w.ended_at"))
-    both = rows.alias("r").join(F.broadcast(chosen).alias("w"), (F.col("r.request_id") == F.col("w.request_id")) & inside)
-    return both.select("r.*", *(F.col(f"w.{c}") for c in chosen.columns if c != "request_id"))
+    r = rows.withColumn("_bin", bin_("created_at")).alias("r")
+    both = r.join(w.alias("w"), (F.col("r.request_id") == F.col("w.request_id")) & (F.col("r._bin") == F.col("w._bin"))).where(inside)
+    return both.select("r.*", *(F.col(f"w.{c}") for c in chosen.columns if c != "request_id")).drop("_bin")

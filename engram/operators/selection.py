@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import memory_score, payload_bytes
-from ..functions.text import glob_regex, normal_path
+from . import globs
 
 #: Limits and quotas of a selection.
 MAX_MEMORIES, MAX_BYTES = 10, 8192
@@ -26,17 +26,13 @@ def gates(memories: DataFrame, as_of: str, include_superseded: bool = False) ->
 
 
 def candidates(memories: DataFrame, requests: DataFrame, as_of: str) -> DataFrame:
-    """Every request with every memory that passes trigger, scope and tool gates, scored.
-
-    The requests are the bounded side. Globs are compiled as a column, once for each memory.
-    """
-    m = gates(memories, as_of).where("kind is null").withColumn("regex", glob_regex(F.col("scope_glob"))).withColumn("base", memory_score(as_of)).withColumn("bytes", payload_bytes())
-    m = m.select("id", "type", "triggers", "scope_glob", "activation_class", "importance", "confidence", "updated_at", "created_at", "relevant_tools", "regex", "base", "bytes")
-    r = requests.select("request_id", "trigger", "scope_ref", "tool", normal_path(F.col("scope_ref")).alias("path"))
-    fits = F.array_contains("triggers", F.col("trigger")) & F.regexp_like("path", F.col("regex"))
+    """Every request with every memory that passes trigger, scope and tool gates, scored. Both gates are equality joins (``globs``)."""
+    m = gates(memories, as_of).where("kind is null").withColumn("base", memory_score(as_of)).withColumn("bytes", payload_bytes())
+    m = m.select("id", "type", "triggers", "scope_glob", "activation_class", "importance", "confidence", "updated_at", "created_at", "relevant_tools", "base", "bytes")
+    r = requests.select("request_id", "trigger", "scope_ref", "tool")
     tool = F.col("relevant_tools").isNull() | F.coalesce(F.array_contains("relevant_tools", F.col("tool")), F.lit(False))
     boost = F.when((F.col("trigger") == "before_tool") & F.col("relevant_tools").isNotNull() & tool, 0.15).otherwise(0.0)
-    return m.join(bounded_broadcast(r), fits & tool).withColumn("score", F.col("base") + boost).drop("regex", "triggers", "relevant_tools", "base", "path")
+    return globs.in_scope(m, r).where(tool).withColumn("score", F.col("base") + boost).drop("triggers", "relevant_tools", "base")
 
 
 def sort_key() -> Column:
@@ -115,6 +111,5 @@ def conflicts(memories: DataFrame) -> DataFrame:
 
 def policy_warnings(rules: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, rule_code) of rules whose trigger equals the request's and whose glob matches its scope."""
-    r = requests.select("request_id", "trigger", normal_path(F.col("scope_ref")).alias("path"))
-    p = rules.select("rule_code", "trigger_kind", glob_regex(F.col("rule_glob")).alias("regex"))
-    return r.join(bounded_broadcast(p), (F.col("trigger") == F.col("trigger_kind")) & F.regexp_like("path", F.col("regex"))).select("request_id", "rule_code")
+    p = rules.select("rule_code", F.array("trigger_kind").alias("triggers"), F.col("rule_glob").alias("scope_glob"))
+    return globs.in_scope(p, requests.select("request_id", "trigger", "scope_ref")).select("request_id", "rule_code")

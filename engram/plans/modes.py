@@ -31,7 +31,7 @@ def _rows(spark, sf: str) -> DataFrame:
     m = selection.gates(src.memories(spark, sf), AS_OF).where("kind is null").withColumn("regex", glob_regex(F.col("scope_glob")))
     m = m.withColumn("base", scoring.memory_score(AS_OF)).withColumn("bytes", scoring.payload_bytes())
     m = m.select("id", "seq", "type", "triggers", "scope_glob", "activation_class", "importance", "confidence", "updated_at", "created_at", "relevant_tools", "regex", "base", "bytes")
-    both = m.crossJoin(F.broadcast(_requests(spark, sf)))
+    both = m.crossJoin(selection.bounded_broadcast(_requests(spark, sf)))  # every pair is a row of the suppression log
     listed = F.coalesce(F.array_contains("relevant_tools", F.col("tool")), F.lit(False))
     both = both.withColumn("trigger_ok", F.array_contains("triggers", F.col("trigger"))).withColumn("in_scope", F.regexp_like("scope_ref", F.col("regex")))
     both = both.withColumn("tool_ok", F.col("tool").isNull() | F.col("relevant_tools").isNull() | listed)
@@ -196,7 +196,7 @@ select request_id, id, kind, count(*) as n from log where kind is not null group
 def suppression_log(spark, sf):
     """Why memories were left out, by request; a bag, so a memory may appear for several kinds or more than once."""
     rows, found, chosen, last = _final(spark, sf)
-    gated = selection.gates(src.memories(spark, sf), AS_OF).where("kind is not null").select("id", "kind").crossJoin(F.broadcast(_requests(spark, sf).select("request_id")))
+    gated = selection.gates(src.memories(spark, sf), AS_OF).where("kind is not null").select("id", "kind").crossJoin(selection.bounded_broadcast(_requests(spark, sf).select("request_id")))
     key = ["request_id", "id"]
     missed = found.select(*key).join(chosen.select(*key), key, "left_anti").withColumn("kind", F.lit("budget_limit"))
     kind = F.when(~F.col("trigger_ok"), "trigger_mismatch").when(~F.col("in_scope"), "scope_mismatch").when(~F.col("tool_ok"), "tool_mismatch").otherwise("budget_limit")
@@ -235,7 +235,7 @@ def _matched(spark, sf, most: int, least: int = 0) -> DataFrame:
     near = near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("request_id", F.col("id").alias("session_id"), "place")
     if least:
         latest = s.orderBy(F.desc("updated_at"), "session_id").limit(most + least).select("session_id", F.col("updated_at").alias("at"))
-        more = latest.crossJoin(F.broadcast(r.select("request_id"))).join(near, ["request_id", "session_id"], "left_anti")
+        more = r.select("request_id").crossJoin(F.broadcast(latest)).join(near, ["request_id", "session_id"], "left_anti")
         have = near.groupBy("request_id").agg(F.count("*").alias("have"))
         nth = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("at"), "session_id"))
         more = more.withColumn("nth", nth).join(have, "request_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("nth") + F.col("have") <= least)
@@ -243,14 +243,14 @@ def _matched(spark, sf, most: int, least: int = 0) -> DataFrame:
     return near.join(s.select("session_id", F.col("created_at").alias("ended_at")), "session_id")
 
 
-def _by_session(spark, sf, chosen: DataFrame, per: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of the requests' windows, and the best ``per`` of each window: (request_id, session_id, place, id, score, rank)."""
-    rows = modes.in_windows(_rows(spark, sf).where("has_query"), modes.with_start(chosen, summaries(spark, sf)))
+def _by_session(spark, sf, chosen: DataFrame, per: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the requests' windows, and the best ones of each window, as many as ``per`` (asked, most) says: (request_id, session_id, place, id, score, rank)."""
+    rows = modes.in_windows(_rows(spark, sf).where("has_query"), modes.with_start(chosen, summaries(spark, sf), src.checkpointed), src.checkpointed)
     part = src.checkpointed(rows.withColumn("asked", F.col("request_id")).withColumn("request_id", F.col("request_id") * 1_000_000 + F.col("place")))
     able = part.select("request_id", "asked", "id", "in_scope")
     keys = able.select("request_id", "asked").distinct()
     spread = lambda x: x.withColumnRenamed("request_id", "asked").join(keys, "asked").select("request_id", "id", "score")
-    found = hybrid.retrieve(able.drop("asked"), keys.select("request_id", F.lit(per).alias("most")), *map(spread, _lists(spark, sf)))
+    found = hybrid.retrieve(able.drop("asked"), keys.join(per, "asked").select("request_id", "most"), *map(spread, _lists(spark, sf)))
     return part, src.checkpointed(_activation(found, part))
 
 
@@ -268,7 +268,7 @@ st as (select request_id, id, bytes, score, 1 as stage, epoch_us(created_at) as
 @query(f"with recursive {TEMPORAL} select request_id, id, rank, round(score, 6) as score from final")
 def activate_temporal(spark, sf):
     """The five nearest sessions, the best rows of each, in order of time; without any, the last updated memories."""
-    part, found = _by_session(spark, sf, _matched(spark, sf, 5), 3)
+    part, found = _by_session(spark, sf, _matched(spark, sf, 5), _requests(spark, sf).select(F.col("request_id").alias("asked"), F.lit(3).alias("most")))
     best = part.select("request_id", "asked", "id", "bytes", "created_at", "base").join(found.select("request_id", "id", "score"), ["request_id", "id"])
     first = Window.partitionBy("request_id").orderBy("created_at", "id")
     rest = part.join(found.select("request_id").distinct(), "request_id", "left_anti").withColumn("k", F.row_number().over(first)).where("k <= 3")
@@ -289,19 +289,13 @@ def activate_cross_session(spark, sf):
     """The eight nearest sessions (three at least), their best rows in turn."""
     chosen = _matched(spark, sf, 8, 3)
     # With eight sessions each gives ceil(10 / 8) rows; fewer sessions give more, so limits go by request.
-    n = chosen.groupBy("request_id").agg(F.greatest(F.lit(1), F.ceil(F.lit(selection.MAX_MEMORIES) / F.count("*"))).cast("int").alias("per"))
-    per = {r.request_id: r.per for r in n.collect()}  # a number for each text request
-    out = None
-    for k in sorted(set(per.values())):
-        part, found = _by_session(spark, sf, chosen.where(F.col("request_id").isin([q for q, v in per.items() if v == k])), k)
-        best = part.select("request_id", "asked", "place", "id", "bytes", "base").join(found.select("request_id", "id", "score", F.col("rank").alias("at")), ["request_id", "id"])
-        first = Window.partitionBy("request_id").orderBy(modes.total_order(F.col("base")))
-        rest = part.join(found.select("request_id").distinct(), "request_id", "left_anti").withColumn("at", F.row_number().over(first)).where(F.col("at") <= k)
-        cols = lambda x, s: x.select(F.col("asked").alias("request_id"), "id", "bytes", F.col(s).alias("score"), F.lit(1).alias("stage"), F.struct("at", F.col("place").alias("session"), "id").alias("place"))
-        rows = cols(best, "score").unionByName(cols(rest, "base"))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return spark.createDataFrame([], "request_id long, id string, rank int, score double")
+    n = chosen.groupBy(F.col("request_id").alias("asked")).agg(F.greatest(F.lit(1), F.ceil(F.lit(selection.MAX_MEMORIES) / F.count("*"))).cast("int").alias("most"))
+    part, found = _by_session(spark, sf, chosen, n)
+    best = part.select("request_id", "asked", "place", "id", "bytes", "base").join(found.select("request_id", "id", "score", F.col("rank").alias("at")), ["request_id", "id"])
+    first = Window.partitionBy("request_id").orderBy(modes.total_order(F.col("base")))
+    rest = part.join(found.select("request_id").distinct(), "request_id", "left_anti").withColumn("at", F.row_number().over(first)).join(n, "asked").where("at <= most")
+    cols = lambda x, s: x.select(F.col("asked").alias("request_id"), "id", "bytes", F.col(s).alias("score"), F.lit(1).alias("stage"), F.struct("at", F.col("place").alias("session"), "id").alias("place"))
+    out = cols(best, "score").unionByName(cols(rest, "base"))
     return modes.fill(out, ["place"]).select("request_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -318,10 +312,16 @@ def activate_startup(spark, sf):
     s = summaries(spark, sf)
     late = s.orderBy(F.desc("updated_at"), "session_id").limit(3).select(F.lit(0).alias("request_id"), "session_id", F.col("created_at").alias("ended_at"))
     m = src.memories(spark, sf).select(F.lit(0).alias("request_id"), "id", "created_at")
-    recent = modes.in_windows(m, modes.with_start(late, s)).select("id").distinct().withColumn("recent", F.lit(modes.RECENT_BOOST))
+    recent = modes.in_windows(m, modes.with_start(late, s, src.checkpointed), src.checkpointed).select("id").distinct().withColumn("recent", F.lit(modes.RECENT_BOOST))
     rows = _rows(spark, sf).join(recent, "id", "left").withColumn("near", F.col("base") + F.coalesce("recent", F.lit(0.0)))
     order = lambda at, score: F.struct(at.alias("at"), (-F.round(score, 12)).alias("near"), modes.total_order(F.col("base")).alias("key")).alias("place")
     base = rows.where("activation_class = 'baseline'").select("request_id", "id", "bytes", F.col("base").alias("score"), F.lit(0).alias("stage"), order(F.lit(0), F.col("base")))
     later = F.when(F.col("activation_class") == "startup", 0).otherwise(1)
     rest = rows.where("activation_class <> 'baseline' and (scope_ref = '.' or in_scope)").select("request_id", "id", "bytes", F.col("near").alias("score"), F.lit(1).alias("stage"), order(later, F.col("near")))
     return modes.fill(base.unionByName(rest), ["place"]).select("request_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"with {ROWS} select request_id, scope_ref = '.' as broad from req")
+def broad_scope(spark, sf):
+    """Requests of the whole project."""
+    return _requests(spark, sf).select("request_id", (F.col("scope_ref") == ".").alias("broad"))

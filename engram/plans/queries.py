@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import evidence as ev
-from ..operators import changes, hybrid, index, lifecycle, reports, retrieval, scan, selection
+from ..operators import changes, globs, hybrid, index, lifecycle, reports, retrieval, scan, selection
 from ..sources import adapters as src
 from ..sources.store import Store
 
@@ -74,9 +74,7 @@ def status_ttl_gate(spark, sf):
 
 @query(f"with {M}, {R} select r.request_id, m.id from memories m join requests r on {FITS}")
 def trigger_scope_gate(spark, sf):
-    m = src.memories(spark, sf).select("id", "triggers", text.glob_regex(F.col("scope_glob")).alias("regex"))
-    r = src.requests(spark)
-    return m.join(selection.bounded_broadcast(r), F.array_contains("triggers", F.col("trigger")) & F.regexp_like("scope_ref", F.col("regex"))).select("request_id", "id")
+    return globs.in_scope(src.memories(spark, sf).select("id", "triggers", "scope_glob"), src.requests(spark)).select("request_id", "id")
 
 
 @query(f"with {M} select id, relevant_tools is null or list_contains(relevant_tools, 'bash') as for_bash, relevant_tools is null or list_contains(relevant_tools, 'edit') as for_edit from memories")
@@ -159,12 +157,11 @@ def conflict_groups(spark, sf):
     return selection.conflicts(src.memories(spark, sf))
 
 
-RULES = (("no-secrets", "before_tool", "**/*"), ("docs-style", "session_start", "docs/**"), ("src0-owner", "before_model", "src/src0/*.{ts,tsx}"))
-
-
-@query(f"with {R}, rules(rule_code, k, re) as (values ('no-secrets','before_tool','.*'), ('docs-style','session_start','docs/.*'), ('src0-owner','before_model','src/src0/[^/]*\\.(ts|tsx)')) select request_id, rule_code from requests join rules on k = trigger and regexp_full_match(scope_ref, re)")
+@query(f"with {M}, {R} select request_id, m.id as rule_code from memories m join requests r on {FITS.replace('list_contains(m.triggers, r.trigger)', 'm.triggers[1] = r.trigger')} where type = 'policy' and status = 'active'")
 def policy_warnings(spark, sf):
-    return selection.policy_warnings(spark.createDataFrame(list(RULES), "rule_code string, trigger_kind string, rule_glob string"), src.requests(spark))
+    """Active policies as rules, each with its first trigger."""
+    rules = src.memories(spark, sf).where("type = 'policy' and status = 'active'").select(F.col("id").alias("rule_code"), F.col("triggers")[0].alias("trigger_kind"), F.col("scope_glob").alias("rule_glob"))
+    return selection.policy_warnings(rules, src.requests(spark))
 
 
 # ---- retrieval -----------------------------------------------------------------------------------------------------

@@ -215,11 +215,6 @@ def tier_merge(spark, sf):
 # ---- predicates and windows ----------------------------------------------------------------------------------------
 
 
-@query(f"with {R} select request_id, scope_ref = '.' as broad from requests")
-def broad_scope(spark, sf):
-    return src.requests(spark).select("request_id", (F.col("scope_ref") == ".").alias("broad"))
-
-
 @query(f"with {E} select id from evidence where trim(excerpt) = '' or length(excerpt) < 20")
 def adapter_noise(spark, sf):
     """Events that the adapter drops at once: blank or under 20 characters."""
