@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOPIC
-from ..operators import states
+from ..functions.text import SUCCESS, TOPIC
+from ..operators import states, summaries
 from ..sources import adapters as src
 from .queries import AS_OF, E, M, TAG_SQL, TYPE_SQL, query
 
@@ -116,3 +116,50 @@ tx as (select *, 'Session with ' || n_events || ' events. Tools: ' || tools || '
 select session_id, n_events, top_topics, tools, case when length(t) > 400 then rtrim(substr(t, 1, 397)) || '...' else t end as short from tx""")
 def session_summaries(spark, sf):
     return summarised(states.with_signals(src.evidence(spark, sf)))
+
+
+#: Stored summaries of every third session, some of them half an hour old; events as they were an hour before the end.
+NOW = "timestamp '2024-02-01 12:00:00'"
+FULL = f"""{E}, evt0 as (select *, {TYPE_SQL} as type, lower(tool || ' ' || excerpt) as low, row_number() over (partition by session_id order by created_at, id) % 10 = 0 as tenth from evidence), evt1 as (select *, {TOPIC_SQL} as topic from evt0),
+evt as (select *, case when trim(excerpt) <> '' then trim(excerpt) else trim(title) end as said, round(least(1e0, 45e-2 + case when type = 'pitfall' then 25e-2 when type in ('policy','decision') then 15e-2 when type = 'architecture_constraint' then 1e-1 else 0e0 end
+  + case when regexp_matches(title || ' ' || excerpt, '(?i){SUCCESS}') then 1e-1 else 0e0 end + case when tool = 'bash' then 5e-2 else 0e0 end) + 8e-1 + case when type in ('decision','architecture_constraint') then 1e-1 else 0e0 end + case when tenth then 15e-2 else 0e0 end, 9) as score from evt1),
+tp as (select session_id, string_agg(topic, ', ' order by k) as topics from (select session_id, topic, row_number() over (partition by session_id order by count(*) desc, min((created_at, id))) as k from evt group by session_id, topic) where k <= 5 group by session_id),
+tl as (select session_id, array_to_string(list_sort(list_distinct(list(tool))), ', ') as tools, count(*) as event_count from evt group by session_id),
+ids as (select session_id, string_agg(id::varchar, ',' order by k) as source_ids from (select session_id, id, row_number() over (partition by session_id order by created_at desc, id desc) as k from evt) where k <= 20 group by session_id),
+sn as (select session_id, type, string_agg(said, ' | ' order by k) as line from (select session_id, type, said, row_number() over (partition by session_id, type order by max((score, created_at, id)) desc) as k from evt group by session_id, type, said) where k <= 2 group by 1, 2),
+ty as (select session_id, type, count(*) as n, replace(type, '_', ' ') as label from evt group by all),
+tys as (select session_id, list(label || ' (' || n || ')' order by n desc, label) as kinds, list(label || ' (' || n || '): ' || line order by n desc, label) as lines from ty join sn using (session_id, type) group by session_id),
+ln as (select tl.*, topics, source_ids, kinds, list_concat(['Session ' || session_id || ' overview', 'Events: ' || event_count, 'Tools: ' || tools, 'Topics: ' || topics], lines) as lines from tl join tp using (session_id) join ids using (session_id) join tys using (session_id)),
+full_ as (select session_id, event_count, source_ids, '[Session] ' || event_count || ' events: ' || array_to_string(kinds[1:3], ', ') || '. Tools: ' || tools || '. Topics: ' || topics || '.' as s,
+  array_to_string(lines[1 : coalesce(list_max(list_filter(range(1, len(lines) + 1), lambda i: length(array_to_string(lines[1:i], chr(10))) <= 1000)), 0)], chr(10)) as medium from ln),
+gen as (select session_id, event_count, source_ids, case when length(s) > 400 then rtrim(left(s, 397)) || '...' else s end as short, medium from full_)"""
+
+
+def _scored_events(spark, sf: str) -> DataFrame:
+    tenth = F.row_number().over(Window.partitionBy("session_id").orderBy("created_at", "id")) % 10 == 0
+    return states.with_signals(src.evidence(spark, sf)).withColumn("boost", F.when(tenth, 0.15).otherwise(0.0))
+
+
+@query(f"with {FULL} select * from gen")
+def session_summary_texts(spark, sf):
+    """Short and medium summaries of all sessions, with their latest events."""
+    return summaries.summarise(_scored_events(spark, sf)).select("session_id", "event_count", F.array_join("source_ids", ",").alias("source_ids"), "short", "medium")
+
+
+@query(f"""with {FULL}, stored as (select distinct session_id, {NOW} - to_minutes((session_id % 60)::int) as updated_at from evidence where session_id % 3 = 0)
+select session_id, coalesce(g.short, 'old') as short, coalesce(s.updated_at, {NOW}) as created_at, case when g.session_id is null then s.updated_at else {NOW} end as updated_at, case when s.session_id is not null then session_id::double end as vector, case when s.session_id is not null then 1 else 2 end as since
+ from stored s full join (select * from gen where event_count >= 3 and session_id not in (select session_id from stored where updated_at > {NOW} - interval 30 minute)) g using (session_id)""")
+def summary_refresh(spark, sf):
+    """Stored summaries after one refresh: what is younger than half an hour stays, creation times and vectors are kept. ``since``: the version that first has the session."""
+    at = F.lit("2024-02-01 12:00:00").cast(STAMP)
+    events = _scored_events(spark, sf)
+    blank = summaries.summarise(events.limit(0)).schema
+    held = events.where("session_id % 3 = 0").select("session_id").distinct().withColumn("short", F.lit("old"))
+    old = held.select(*(F.col(f.name) if f.name in held.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in blank), F.array(F.col("session_id").cast("double")).alias("vector"))
+    times = at - F.make_dt_interval(F.lit(0), F.lit(0), (F.col("session_id") % 60).cast("int"))
+    s = src.store(spark, "summaries")
+    first = s.create(summaries.SUMMARIES, old.withColumn("created_at", times).withColumn("updated_at", times), ("session_id",))
+    last = summaries.refresh(s, events, at)
+    before = s.read(summaries.SUMMARIES, first).select("session_id", F.lit(1).alias("since"))
+    now = s.read(summaries.SUMMARIES, last).join(before, "session_id", "left")
+    return now.select("session_id", "short", "created_at", "updated_at", F.col("vector")[0].alias("vector"), F.coalesce("since", F.lit(2)).alias("since"))

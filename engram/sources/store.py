@@ -17,7 +17,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 
 class Conflict(RuntimeError):
@@ -124,8 +124,11 @@ class Store:
         some = written if touched is None else {b: written.get(b) for b in touched}
         if set(written) - set(some):
             raise ValueError("rows outside the touched buckets")
-        schema = StructType([StructField(f.name, f.dataType, True) for f in rows.schema])
-        return Staged(table, tuple(key), buckets, schema.json(), some, touched is None)
+        # Whether a column may be null depends on how rows were made, so all may, at every depth.
+        schema = rows.schema.json()
+        for name in ("nullable", "containsNull", "valueContainsNull"):
+            schema = schema.replace(f'"{name}":false', f'"{name}":true')
+        return Staged(table, tuple(key), buckets, schema, some, touched is None)
 
     def commit(self, base: int, staged: Iterable[Staged], retries: int = 20) -> int:
         """Publish staged files that were made from version ``base``; returns the new version. Raises ``Conflict``."""
