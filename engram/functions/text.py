@@ -116,3 +116,9 @@ def normal_path(path: Column) -> Column:
 
 def slug(text: Column, size: int = 60) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, size)
+
+
+def expanded_query(scope_ref: Column, query: Column) -> Column:
+    """The text that a request's vector is made of: its scope as words before the query, unless the scope is the whole project."""
+    words = F.regexp_replace(F.translate(scope_ref, "/\\", "  "), r"\.[^.]+$", "")
+    return F.when(scope_ref == ".", query).otherwise(F.concat(words, F.lit(": "), query))

@@ -11,6 +11,8 @@ from . import globs
 #: Limits and quotas of a selection.
 MAX_MEMORIES, MAX_BYTES = 10, 8192
 QUOTAS = {"policy": 3, "workflow": 3, "pitfall": 2, "architecture_constraint": 1, "decision": 1}
+#: Rounds of a round-robin that are summed in one task.
+ROUNDS = 4096
 ORDER = ("score", "importance", "confidence", "updated_at", "created_at")
 
 
@@ -81,22 +83,26 @@ def select(rows: DataFrame, max_memories: int = MAX_MEMORIES, max_bytes: int = M
 def interleave(rows: DataFrame, group: str, order: list, cap: int | None = None) -> DataFrame:
     """Round-robin over the groups of a request, groups by first appearance, at most ``cap`` rows of each; adds ``rank``.
 
-    Rows are numbered within their group only. A row's rank follows from counts: the rows of all earlier rounds, and the earlier groups
-    of its own round, both from one small row for each request and round and for each request and group.
+    Rows are numbered within their group, which gives their round. A row's rank is the number of rows in earlier rounds, a prefix sum over
+    a small row a round, and its place among the groups that have that round.
     """
     rows = rows.withColumn("_key", F.struct(*order))
-    own = Window.partitionBy("request_id", group).orderBy("_key")
-    rows = rows.withColumn("_rn", F.row_number().over(own))
+    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("request_id", group).orderBy("_key")))
     if cap:
         rows = rows.where(F.col("_rn") <= cap)
-    sizes = rows.groupBy("request_id", group).agg(F.min("_key").alias("_first"), F.max("_rn").alias("_size"))
-    place = F.row_number().over(Window.partitionBy("request_id").orderBy("_first"))
-    sizes = sizes.withColumn("_place", place)
-    # Rows before round r: of each group min(size, r - 1). Before a group in its round: the earlier groups that are as large.
-    ends = sizes.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("_place", "_size"))).alias("_groups"))  # a request's distinct groups
-    out = rows.join(sizes.select("request_id", group, "_place"), ["request_id", group]).join(ends, "request_id")
-    before = F.aggregate("_groups", F.lit(0), lambda a, g: a + F.least(g["_size"], F.col("_rn") - 1) + F.when((g["_place"] < F.col("_place")) & (g["_size"] >= F.col("_rn")), 1).otherwise(0))
-    return out.withColumn("rank", before + 1).drop("_key", "_rn", "_place", "_groups")
+    first = rows.where("_rn = 1").select("request_id", group, F.col("_key").alias("_first"))
+    rounds = rows.groupBy("request_id", "_rn").agg(F.count("*").alias("_n"))
+    # In two steps, as a request may have as many rounds as its largest group has rows.
+    rounds = rounds.withColumn("_block", F.floor(F.col("_rn") / ROUNDS))
+    blocks = rounds.groupBy("request_id", "_block").agg(F.sum("_n").alias("_all"))
+    upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    blocks = blocks.withColumn("_before", zero(F.sum("_all").over(upto("request_id").orderBy("_block")))).drop("_all")
+    rounds = rounds.withColumn("_own", zero(F.sum("_n").over(upto("request_id", "_block").orderBy("_rn")))).join(blocks, ["request_id", "_block"])
+    rounds = rounds.select("request_id", "_rn", (F.col("_before") + F.col("_own")).alias("_ahead"))
+    out = rows.join(first, ["request_id", group]).join(rounds, ["request_id", "_rn"])
+    place = F.row_number().over(Window.partitionBy("request_id", "_rn").orderBy("_first"))
+    return out.withColumn("rank", (F.col("_ahead") + place).cast("int")).drop("_key", "_rn", "_first", "_ahead")
 
 
 def disclosure(rank: Column, activation_class: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.text import glob_regex
+from ..functions.text import expanded_query, glob_regex
 from ..operators import hybrid, index, modes, retrieval, selection
 from ..sources import adapters as src
 from .queries import AS_OF, BYTES, LEX, M, R, SCORE, query
@@ -325,3 +325,9 @@ def activate_startup(spark, sf):
 def broad_scope(spark, sf):
     """Requests of the whole project."""
     return _requests(spark, sf).select("request_id", (F.col("scope_ref") == ".").alias("broad"))
+
+
+@query(f"with {ROWS} select request_id, case when scope_ref = '.' then query else regexp_replace(translate(scope_ref, '/', ' '), '\\.[^.]+$', '') || ': ' || query end as expanded from req where query <> ''")
+def query_expansion(spark, sf):
+    """The texts from which the requests' vectors would be made."""
+    return _requests(spark, sf).where("query <> ''").select("request_id", expanded_query(F.col("scope_ref"), F.col("query")).alias("expanded"))

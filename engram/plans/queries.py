@@ -394,7 +394,15 @@ def session_windows(spark, sf):
 # ---- lifecycle -----------------------------------------------------------------------------------------------------
 
 
-@query(f"with {M}, h as (select id, created_at, sha256(concat_ws(chr(1), type, replace(summary, chr(13) || chr(10), chr(10)), replace(details, chr(13) || chr(10), chr(10)), scope_glob, array_to_string(triggers, ','))) as content_hash from memories) select content_hash, arg_min(id, (created_at, id)) as id, count(*) as copies from h group by content_hash")
+_LINES = lambda c: f"replace({c}, chr(13) || chr(10), chr(10))"
+_TRIGGERS = f"list_sort(list_transform(triggers, lambda x: (list_position({list(lifecycle.TRIGGERS)}, x), x)))"
+#: The identity of a memory and the hash of its content, as expressions of its columns.
+IDENTITY_SQL = f"sha256(to_json(struct_pack(type := type, summary := {_LINES('summary')}, details := {_LINES('details')}, \"scopeGlob\" := {_LINES('scope_glob')}, \"lifecycleTriggers\" := list_transform({_TRIGGERS}, lambda x: x[2])))::varchar)"
+CONTENT_SQL = f"sha256(to_json(struct_pack(summary := {_LINES('summary')}, details := {_LINES('details')}))::varchar)"
+
+
+@query(f"""with {M}, h as (select id, created_at, {IDENTITY_SQL} as identity_key, sha256('memory:' || {CONTENT_SQL}) as c from memories)
+select identity_key, arg_min(id, (created_at, id)) as id, count(*) as copies, c[1:8] || '-' || c[9:12] || '-5' || c[14:16] || '-' || ['8','9','a','b'][('0x' || c[17])::int % 4 + 1] || c[18:20] || '-' || c[21:32] as content_id from h group by identity_key, c""")
 def exact_dedup_hash(spark, sf):
     return lifecycle.exact_dedup(src.memories(spark, sf))
 
@@ -424,12 +432,13 @@ def scan_sql(rows: str) -> str:
     return f"(select * exclude (own, cr, plain), list_concat(own, {first}, {hidden}) as threats from (select *, {own} as own, {both} as cr, {plain} as plain from {rows}))"
 
 
-@query(f"""with {M}, n as (select 'm' || lpad((event_id % (select count(*) from documents))::varchar, 12, '0') as id, count(*) as n from events group by 1)
-select id, case when created_at < timestamp '{AS_OF}' - interval 30 day then 'expired' when len(threats) > 0 then 'unsafe' when confidence < 85e-2 then 'low_confidence' when coalesce(n, 0) < 3 then 'little_evidence' when type = 'policy' then 'policy' when type not in ('pitfall','workflow') then 'type_not_allowed' else 'promoted' end as outcome from {scan_sql('memories')} left join n using (id) where status = 'candidate'""")
+@query(f"""with {M}, n as (select 'm' || lpad(user_id::varchar, 12, '0') as id, count(*) as n from events group by 1), o as (
+select *, case when created_at < timestamp '{AS_OF}' - interval 30 day then 'expired' when len(threats) > 0 then 'unsafe' when confidence < 85e-2 then 'low_confidence' when coalesce(n, 0) < 3 then 'little_evidence' when type = 'policy' then 'policy' when type not in ('pitfall','workflow') then 'type_not_allowed' else 'promoted' end as outcome from {scan_sql('memories')} left join n using (id) where status = 'candidate')
+select id, outcome, case outcome when 'promoted' then 'active' when 'expired' then 'rejected' else 'candidate' end as status, case when outcome = 'promoted' then 'auto' else promotion_source end as promotion_source,
+ case when outcome = 'promoted' then timestamp '{AS_OF}' + interval 14 day else ttl_expires_at end as ttl_expires_at, case when outcome = 'promoted' then 0 else validation_count end::int as validation_count from o""")
 def promotion_gates(spark, sf):
-    total = src.read(spark, sf, "documents").agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))  # one row
-    number = F.lpad((F.col("event_id") % F.col("total")).cast("string"), 12, "0")
-    counts = src.read(spark, sf, "events").crossJoin(F.broadcast(total)).groupBy(F.concat(F.lit("m"), number).alias("id")).agg(F.count("*").alias("n"))
+    """Candidates and what an automatic promotion makes of them; events are linked to memories by user."""
+    counts = src.read(spark, sf, "events").groupBy(F.concat(F.lit("m"), F.lpad(F.col("user_id").cast("string"), 12, "0")).alias("id")).agg(F.count("*").alias("n"))
     return lifecycle.promotion(src.memories(spark, sf), counts, AS_OF)
 
 
@@ -453,8 +462,10 @@ def lineage_recursive(spark, sf):
     return changes.paths(changes.ancestors(src.memories(spark, sf).select("id", "supersedes_id"), src.checkpointed))
 
 
-@query(f"with {M} select id, status, case when status = 'stale' then 'demoted' when promotion_source = 'auto' and status = 'active' then 'revalidated' else 'kept' end as change, (validation_count + case when promotion_source = 'auto' and status = 'active' then 1 else 0 end)::int as validation_count from memories")
+@query(f"""with {M}, ev as (select 'm' || lpad(doc_id::varchar, 12, '0') as id, coalesce(max(quality), 0) = 1 as yes, coalesce(max(toxic), 0) = 1 as no from labels group by 1),
+c as (select *, case when status = 'active' and no then 'demoted' when status = 'active' and yes and promotion_source = 'auto' then 'revalidated' else 'kept' end as change from memories join ev using (id) where yes or no)
+select id, change, case change when 'demoted' then 'stale' else status end as status, (validation_count + case when change = 'revalidated' then 1 else 0 end)::int as validation_count, case when change = 'revalidated' then timestamp '{AS_OF}' + interval 14 day else ttl_expires_at end as ttl_expires_at from c""")
 def revalidate(spark, sf):
-    auto = (F.col("promotion_source") == "auto") & (F.col("status") == "active")
-    change = F.when(F.col("status") == "stale", "demoted").when(auto, "revalidated").otherwise("kept")
-    return src.memories(spark, sf).select("id", "status", change.alias("change"), (F.col("validation_count") + auto.cast("int")).alias("validation_count"))
+    """Memories that labels speak for (quality) or against (toxic)."""
+    labels = src.read(spark, sf, "labels").withColumn("id", F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 12, "0")))
+    return lifecycle.revalidated(src.memories(spark, sf), labels.where("quality = 1").select("id"), labels.where("toxic = 1").select("id"), AS_OF)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import lifecycle, retrieval
 from ..sources import adapters as src
-from .queries import AS_OF, COS, E, M, R, query
+from .queries import AS_OF, COS, E, IDENTITY_SQL, M, query
 
 #: Audit events and what each reports.
 AUDIT_TYPES = ("activation", "session_summary_generated", "session_summary_skipped", "auto_promotion_cycle", "review_digest_shown")
@@ -181,19 +181,16 @@ def merge_fields(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return out.select(*(F.coalesce(f"new {c}", c).alias(c) if c in fields else c for c in old.columns))
 
 
-HASH = "sha256(concat_ws(chr(1), type, replace(summary, chr(13) || chr(10), chr(10)), replace(details, chr(13) || chr(10), chr(10)), scope_glob, array_to_string(triggers, ',')))"
-
-
 @query(f"""with {M}, patch as (select 'm' || lpad(doc_id::varchar, 12, '0') as id, case when quality = 1 then 9e-1 end as confidence, case when toxic = 1 then 'withheld' end as details from labels),
-upd as (select m.id, type, summary, coalesce(p.details, m.details) as details, scope_glob, triggers, coalesce(p.confidence, m.confidence) as confidence from memories m left join patch p using (id)), h as (select id, confidence, {HASH} as content_hash from upd)
-select id, round(confidence, 6) as confidence, content_hash, count(*) over (partition by content_hash) > 1 as is_duplicate from h""")
+upd as (select m.id, type, summary, coalesce(p.details, m.details) as details, scope_glob, triggers, coalesce(p.confidence, m.confidence) as confidence from memories m left join patch p using (id)), h as (select id, confidence, {IDENTITY_SQL} as identity_key from upd)
+select id, round(confidence, 6) as confidence, identity_key, count(*) over (partition by identity_key) > 1 as is_duplicate from h""")
 def update_memories(spark, sf):
-    """A partial update: given fields replace the old ones, the content hash follows, and rows that became equal are marked."""
+    """A partial update: given fields replace the old ones, the identity follows, and rows that became equal are marked."""
     labels = src.read(spark, sf, "labels")
     patch = labels.select(F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("id"), F.when(F.col("quality") == 1, 0.9).alias("confidence"), F.when(F.col("toxic") == 1, "withheld").alias("details"))
-    rows = merge_fields(src.memories(spark, sf).select("id", "type", "summary", "details", "scope_glob", "triggers", "confidence"), patch, "id").select("id", F.round("confidence", 6).alias("confidence"), lifecycle.content_hash().alias("content_hash"))
-    twice = rows.groupBy("content_hash").agg((F.count("*") > 1).alias("is_duplicate"))
-    return rows.join(twice, "content_hash").select("id", "confidence", "content_hash", "is_duplicate")
+    rows = merge_fields(src.memories(spark, sf).select("id", "type", "summary", "details", "scope_glob", "triggers", "confidence"), patch, "id").select("id", F.round("confidence", 6).alias("confidence"), lifecycle.identity_key().alias("identity_key"))
+    twice = rows.groupBy("identity_key").agg((F.count("*") > 1).alias("is_duplicate"))
+    return rows.join(twice, "identity_key").select("id", "confidence", "identity_key", "is_duplicate")
 
 
 @query("with patch as (select vec_id, list_reverse(embedding) as embedding from embeddings where vec_id % 4 = 0) select e.vec_id, round(coalesce(p.embedding, e.embedding)[1]::double, 6) as first, p.vec_id is not null as changed from embeddings e left join patch p using (vec_id)")

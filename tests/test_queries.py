@@ -7,7 +7,7 @@ import pytest
 
 from engram.plans.catalog import QUERIES, SQL
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
