@@ -126,43 +126,6 @@ def context_of(gram: Column) -> Column:
     return F.shiftrightunsigned(gram.bitwiseAND(F.lit(BODY)), 8).bitwiseOR(F.shiftleft((size_of(gram) - 1).cast("long"), 56))
 
 
-class Coder:
-    """log10 probabilities of single texts, from {context: {symbol: count}}: what ``code_grams`` computes for tables."""
-
-    def __init__(self, trie: dict[bytes, dict[int, int]], order: int):
-        self.trie, self.order, self.below = trie, order, {}
-
-    def text(self, text: str) -> float:
-        s = stream(text)
-        return sum(self.symbol(s[max(0, i - self.order) : i], s[i]) for i in range(1, len(s)))
-
-    def symbol(self, context: bytes, symbol: int) -> float:
-        while context and context not in self.trie:
-            context = context[1:]
-        # (symbols left and their counts, n + d, log10 of escapes so far), from the longest context down
-        levels = self.below.get(context)
-        if levels is None:
-            levels, out, escaped, at = [], set(), 0.0, context
-            while True:
-                left = {s: n for s, n in self.trie.get(at, {}).items() if s not in out}
-                n, d = sum(left.values()), len(left)
-                levels.append((left, n + d, escaped))
-                if left:
-                    escaped += math.log10(d / (n + d))
-                out.update(left)
-                if not at:
-                    break
-                at = at[1:]
-            levels.append((None, max(1, SYMBOLS - len(out)), escaped))
-            self.below[context] = levels
-        for left, total, escaped in levels:
-            if left is None:
-                return escaped - math.log10(total)
-            if symbol in left:
-                return escaped + math.log10(left[symbol] / total)
-        raise AssertionError
-
-
 def code_grams(found: DataFrame, least: float) -> DataFrame:
     """(gram, seen, p): the log10 probability of each of ``found`` (gram, n, seen), by the trie of those with n."""
     k = F.explode(F.sequence(F.lit(1), size_of(F.col("gram"))))
@@ -227,9 +190,9 @@ def score(docs: DataFrame, train_on: Column, order: int = ORDER, least: float =
     counted = materialize(words.select(F.xxhash64("word").alias("wid"), "n"), "ppm-counted")
     coded = materialize(code_grams(materialize(count_grams(held, order), "ppm-found"), least), "ppm-coded")
     bound = max(1.0, frequent * tokens)
-    top = counted.where(F.col("n") >= bound).toPandas().sort_values("wid")
+    top = counted.where(F.col("n") >= bound).toArrow().sort_by("wid")
     least_seen = max(1.0, common * (coded.agg(F.sum("seen")).first()[0] or 0))
-    often = coded.where(F.col("seen") >= least_seen).select("gram", "p").toPandas().sort_values("gram")
+    often = coded.where(F.col("seen") >= least_seen).select("gram", "p").toArrow().sort_by("gram")
     table = spark.sparkContext.broadcast((*(top[c].to_numpy() for c in ("wid", "n")), *(often[c].to_numpy() for c in ("gram", "p"))))
     end_base, end_known = math.log10(ends + 1), int(ends > 0)
 
