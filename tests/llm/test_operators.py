@@ -307,3 +307,24 @@ def test_pipeline(spark):
         assert out.count() > 0
         docs = out
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_repeated_rows_are_mixed_each_on_its_own(spark):
+    import corpus_pipeline
+    from engram.llm import mixing
+
+    text = ["a b c d e f", "g h i j", "k l"]
+    rows = [(1 + k % 3 if k % 2 else None, text[k % 3], "en", f"s{k % 2}", 7, "x") for k in range(12)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, mix_row string").repartition(3)
+    out = corpus_pipeline.mixing_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    numbered = spark.createDataFrame([(k, r[1], r[3]) for k, r in enumerate(rows)], "doc_id long, text string, source string")
+    want = mixing.mix(numbered, carry=("source",)).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("target")).collect()
+    got = {r.source: r.n for r in out.withColumn("n", F.size(F.split("text", " "))).groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    for r in want:  # as close to the target as one document allows, and no row more than twice
+        assert abs(got[r.source] - r.target) <= 6, r
+    times = {(r.doc_id, r.text, r.source): r.n for r in out.groupBy("doc_id", "text", "source").agg(F.count("*").alias("n")).collect()}
+    have = {}
+    for r in rows:
+        have[(r[0], r[1], r[3])] = have.get((r[0], r[1], r[3]), 0) + 1
+    assert all(n <= 2 * have[k] for k, n in times.items())
