@@ -13,13 +13,31 @@ def noise() -> F.Column:
     return (F.trim("title") == "") & (F.trim("excerpt") == "") & (F.trim("args_json") == "")
 
 
-def enriched(events: DataFrame) -> DataFrame:
-    """Events with tags, type, topic, salience and novelty."""
-    zero = F.lit(0)
+def context_counts(events: DataFrame, memories: DataFrame, as_of: str, trigger: str = "before_tool") -> DataFrame:
+    """(scope_ref, tool, related, conflicts): how many memories an activation for that scope and tool gives, and how many groups of them conflict.
+
+    Each distinct scope and tool of ``events`` is one request.
+    """
+    from . import selection
+
+    asked = events.select("scope_ref", "tool").distinct().select(F.struct("scope_ref", "tool").alias("request_id"), F.lit(trigger).alias("trigger"), "scope_ref", "tool")
+    chosen = selection.select(selection.candidates(memories, asked, as_of)).select("request_id", "id")
+    related = chosen.groupBy("request_id").agg(F.count("*").alias("related"))
+    same = memories.select("id", "type", "scope_glob", F.array_join("triggers", ",").alias("triggers"))
+    groups = chosen.join(same, "id").groupBy("request_id", "type", "scope_glob", "triggers").agg(F.count("*").alias("n")).where("n > 1")
+    out = related.join(groups.groupBy("request_id").agg(F.count("*").alias("conflicts")), "request_id", "left")
+    return out.select("request_id.*", "related", F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
+
+
+def enriched(events: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """Events with tags, type, topic, salience and novelty. ``context``: ``context_counts``; without it no memory is related."""
+    if context is not None:
+        events = events.join(context, ["scope_ref", "tool"], "left").withColumn("related", F.coalesce("related", F.lit(0))).withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
+    related, conflicts = (F.lit(0), F.lit(0)) if context is None else (F.col("related"), F.col("conflicts"))
     out = events.withColumn("tags", signal_tags(F.col("excerpt"), F.col("args_json"))).withColumn("type", type_guess(F.col("title"), F.col("excerpt")))
     out = out.withColumn("topic", topic_guess(F.col("type"), F.col("scope_ref"), F.col("tool"), F.col("excerpt")))
-    out = out.withColumn("salience", salience(F.col("type"), F.col("title"), F.col("excerpt"), F.col("tool"), zero, zero))
-    return out.withColumn("novelty", novelty(F.col("type"), zero, zero))
+    out = out.withColumn("salience", salience(F.col("type"), F.col("title"), F.col("excerpt"), F.col("tool"), related, conflicts))
+    return out.withColumn("novelty", novelty(F.col("type"), related, conflicts))
 
 
 def structural_groups(events: DataFrame) -> DataFrame:

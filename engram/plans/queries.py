@@ -269,10 +269,17 @@ def signal_tags(spark, sf):
     return ev.enriched(src.evidence(spark, sf)).select("id", F.array_join("tags", ",").alias("tags"))
 
 
-@query(f"""with {E}, t as (select *, {TYPE_SQL} as type from evidence) select id, type, round(least(1e0, 45e-2 + case when type = 'pitfall' then 25e-2 when type in ('policy','decision') then 15e-2 when type = 'architecture_constraint' then 1e-1 else 0e0 end
- + case when regexp_matches(title || ' ' || excerpt, '(?i){text.SUCCESS}') then 1e-1 else 0e0 end + case when tool = 'bash' then 5e-2 else 0e0 end), 6) as salience, round(8e-1 + case when type in ('decision','architecture_constraint') then 1e-1 else 0e0 end, 6) as novelty from t""")
+@query(f"""with recursive {M}, {E}, requests as (select dense_rank() over (order by scope_ref, tool) as request_id, 'before_tool' as trigger, scope_ref, tool, '' as query from (select distinct scope_ref, tool from evidence)), {CAND}, {FOLD.format(order=ORDER, rows='cand', ok=FITS_BUDGET)},
+rel as (select request_id, count(*) as related from final group by 1), con as (select request_id, count(*) as conflicts from (select request_id from final join memories using (id) group by request_id, type, scope_glob, triggers having count(*) > 1) group by 1),
+t as (select e.*, {TYPE_SQL} as type, coalesce(related, 0) as related, coalesce(conflicts, 0) as conflicts from evidence e join requests using (scope_ref, tool) left join rel using (request_id) left join con using (request_id))
+select id, type, related, conflicts, round(least(1e0, 45e-2 + case when type = 'pitfall' then 25e-2 when type in ('policy','decision') then 15e-2 when type = 'architecture_constraint' then 1e-1 else 0e0 end + case when related > 0 then 1e-1 else 0e0 end + case when conflicts > 0 then 1e-1 else 0e0 end
+ + case when regexp_matches(title || ' ' || excerpt, '(?i){text.SUCCESS}') then 1e-1 else 0e0 end + case when tool = 'bash' then 5e-2 else 0e0 end), 6) as salience,
+ round(least(1e0, case when related = 0 then 8e-1 else 55e-2 end + case when type in ('decision','architecture_constraint') then 1e-1 else 0e0 end + case when conflicts > 0 then 1e-1 else 0e0 end), 6) as novelty from t""")
 def type_salience_novelty(spark, sf):
-    return ev.enriched(src.evidence(spark, sf)).select("id", "type", F.round("salience", 6).alias("salience"), F.round("novelty", 6).alias("novelty"))
+    """Salience and novelty with the memories that an activation gives for the event's scope and tool, and the conflicts among these."""
+    e = src.evidence(spark, sf)
+    context = ev.context_counts(e, src.memories(spark, sf), AS_OF)
+    return ev.enriched(e, context).select("id", "type", "related", "conflicts", F.round("salience", 6).alias("salience"), F.round("novelty", 6).alias("novelty"))
 
 
 @query(f"with {E} select count(*) filter (trim(excerpt) = '') as blank_excerpts, count(*) filter (trim(title) = '' and trim(excerpt) = '' and trim(args_json) = '') as noise from evidence")
