@@ -44,7 +44,7 @@ def plain(facts, memories, threshold):
     return outcomes, sorted((i, now[i]["status"], round(now[i]["confidence"], 9)) for i in touched), sorted(created)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_random_facts(spark, seed):
     rng = random.Random(seed)
     angle = lambda: (lambda a: [round(float(np.cos(a)), 6), round(float(np.sin(a)), 6)])(rng.choice([rng.random() * 6.3, rng.choice([0.1, 0.12, 2.0])]))
