@@ -50,10 +50,11 @@ NEEDS = {
 }
 
 
-def cheap(text: Column, name: str) -> Column:
-    """A plain substring test that holds wherever the pattern ``name`` can match, so most texts never meet the pattern."""
+def cheap(text: Column, name: str, low: Column | None = None) -> Column:
+    """A plain substring test that holds wherever the pattern ``name`` can match, so most texts never meet the pattern. ``low``: the text in lower case."""
     word = NEEDS.get(name)
-    return text.contains(word) if word and word != word.lower() else F.lower(text).contains(word) if word else F.lit(True)
+    low = F.lower(text) if low is None else low
+    return text.contains(word) if word and word != word.lower() else low.contains(word) if word else F.lit(True)
 
 
 THREAT = "array<struct<name:string,category:string,match:string>>"
@@ -79,12 +80,12 @@ def decoded(code: Column) -> Column:
     return F.make_valid_utf8(F.try_to_binary(full, F.lit("base64")).cast("string"))
 
 
-def _hits(text: Column, where: str, some: tuple = BLOCK, prefix: str = "") -> Column:
+def _hits(text: Column, low: Column, where: str, some: tuple = BLOCK, prefix: str = "") -> Column:
     """All matches of the patterns ``some`` in ``text``, in their order, each with where it was found, cut to ``MAX_MATCH`` characters."""
 
     def part(name: str, category: str, p: str) -> Column:
         row = lambda m: F.struct(F.lit(prefix + name).alias("name"), F.lit(category).alias("category"), F.substring(F.concat(F.lit(where), m), 1, MAX_MATCH).alias("match"))
-        return F.coalesce(F.when(cheap(text, name), F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), row)), F.from_json(F.lit("[]"), THREAT))
+        return F.coalesce(F.when(cheap(text, name, low), F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), row)), F.from_json(F.lit("[]"), THREAT))
 
     return F.flatten(F.array(*(part(*x) for x in some)))
 
@@ -95,16 +96,20 @@ def scanned(rows: DataFrame) -> DataFrame:
     A pattern that only matches across both fields counts once; base64 counts for credentials only. Null fields are empty.
     """
     held = rows.select("*", decomposed(F.col("summary")).alias("_summary"), decomposed(F.col("details")).alias("_details"))
-    own = F.concat(_hits(F.col("_summary"), "summary: "), _hits(F.col("_details"), "details: "))
+    # Lower-case texts are columns of their own, or they would be made again for each pattern.
+    held = held.withColumn("_both", F.concat_ws(" ", "_summary", "_details"))
+    held = held.select("*", *(F.lower(c).alias(f"{c} low") for c in ("_summary", "_details", "_both")))
+    hits = lambda c, where: _hits(F.col(c), F.col(f"{c} low"), where)
+    own = F.concat(hits("_summary", "summary: "), hits("_details", "details: "))
     codes = F.concat(*(F.regexp_extract_all(c, F.lit(CODE), F.lit(0)) for c in ("_summary", "_details")))
-    held = held.select("*", own.alias("_own"), _hits(F.concat_ws(" ", "_summary", "_details"), "cross-field: summary: ").alias("_both"), F.transform(codes, decoded).alias("_plain"))
+    held = held.select("*", own.alias("_own"), hits("_both", "cross-field: summary: ").alias("_joint"), F.transform(codes, decoded).alias("_plain"))
     known = lambda x: F.exists("_own", lambda y: (y["name"] == x["name"]) & (y["category"] == x["category"]))
-    held = held.withColumn("_cross", F.filter("_both", lambda x: ~known(x)))
+    held = held.withColumn("_cross", F.filter("_joint", lambda x: ~known(x)))
     # Of several cross-field matches of a pattern the first counts.
     names = F.array_distinct(F.transform("_cross", lambda x: x["name"]))
     first = F.transform(names, lambda n: F.get(F.filter("_cross", lambda x: x["name"] == n), F.lit(0)))
-    hidden = F.flatten(F.transform(F.filter("_plain", lambda x: x.isNotNull()), lambda x: _hits(x, "base64-decoded: details: ", KEYS, "base64_encoded_")))
-    return held.withColumn("threats", F.concat("_own", first, hidden)).drop("_summary", "_details", "_own", "_both", "_plain", "_cross")
+    hidden = F.flatten(F.transform(F.filter("_plain", lambda x: x.isNotNull()), lambda x: _hits(x, F.lower(x), "base64-decoded: details: ", KEYS, "base64_encoded_")))
+    return held.withColumn("threats", F.concat("_own", first, hidden)).drop("_summary", "_details", "_own", "_both", "_joint", "_plain", "_cross", "_summary low", "_details low", "_both low")
 
 
 def with_safety(rows: DataFrame) -> DataFrame:
@@ -114,7 +119,8 @@ def with_safety(rows: DataFrame) -> DataFrame:
 
 def threats(rows: DataFrame) -> DataFrame:
     """(id, name, category, match) of the whole scan, a row for each threat."""
-    return scanned(rows.select("id", "summary", "details")).select("id", F.explode("threats").alias("t")).select("id", "t.*")
+    # With explode() Spark would ask for the array's size below the scan, and so scan twice.
+    return scanned(rows.select("id", "summary", "details")).select("id", F.explode_outer("threats").alias("t")).where("t is not null").select("id", "t.*")
 
 
 def warnings(text: Column) -> Column:

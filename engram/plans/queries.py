@@ -452,7 +452,7 @@ def promotion_gates(spark, sf):
 @query(f"with {M} select id, len(threats) as n_threats from {scan_sql('memories')} where len(threats) > 0")
 def security_threats(spark, sf):
     """How many threats the scan finds in each memory that isn't safe."""
-    return scan.scanned(src.memories(spark, sf).select("id", "summary", "details")).where("size(threats) > 0").select("id", F.size("threats").cast("long").alias("n_threats"))
+    return scan.threats(src.memories(spark, sf)).groupBy("id").agg(F.count("*").alias("n_threats"))
 
 
 @query()
