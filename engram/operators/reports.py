@@ -65,9 +65,3 @@ def hit_interval(rows: DataFrame, group: str, hit) -> DataFrame:
     g = rows.groupBy(group).agg(F.sum(hit.cast("int")).alias("hits"), F.count("*").alias("n"))
     low, high = wilson(F.col("hits"), F.col("n"))
     return g.select(group, "hits", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
-
-
-def distribution(rows: DataFrame, group: str, value: str) -> DataFrame:
-    return rows.groupBy(group).agg(
-        F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"), F.round(F.stddev_pop(value), 6).alias("stddev"), F.round(F.min(value), 6).alias("least"), F.round(F.max(value), 6).alias("most"), F.count("*").alias("n")
-    )
