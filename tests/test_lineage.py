@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.operators import lineage, ordered
-from engram.sources.adapters import checkpointed
+from engram.sources.adapters import checkpointed, stored
 
 
 def plain(rows, focus):
@@ -71,3 +71,19 @@ def test_no_rows_and_previous(spark):
     rows.sort(key=lambda r: (r[0] is not None, r[0] or "", r[1]))
     want = {v: (rows[i - 1] if i else (None, None)) for i, (_, v) in enumerate(rows)}
     assert {r.v: tuple(r.prev) for r in got} == want
+
+
+def test_rounds_leave_no_constraints(spark):
+    """What is saved between rounds has no constraints of the plan that made it, which would grow with the rounds, and no more partitions."""
+    df = spark.range(10).selectExpr("id", "id + 1 as to", "id as n").where("to is not null and n < 7")
+    for _ in range(3):
+        df = stored(df.join(df.selectExpr("id as to", "to as next", "n as more"), "to").selectExpr("id", "next as to", "n + more as n").unionByName(df.where("n > 3")))
+    assert df._jdf.queryExecution().optimizedPlan().constraints().size() == 0
+    assert sorted(stored(spark.range(3)).toDF("id").collect()) == [(0,), (1,), (2,)]
+
+
+def test_query_uses_stored_rounds(spark, monkeypatch):
+    from engram.plans import changes
+
+    monkeypatch.setattr(changes.src, "checkpointed", None)
+    assert changes.lineage_preorder(spark, "/root/testdata/sf0.001").count() > 0
