@@ -109,3 +109,22 @@ def test_one_very_long_token(spark):
     docs = spark.createDataFrame([("a", "x" * 60_000, "xx y"), ("b", "y", "xx")], "id string, summary string, details string")
     found = hybrid.lexical_scores(docs, spark.createDataFrame([(1, "xx")], "request_id long, query string"))
     assert {r.id for r in found.collect()} == {"a", "b"}
+
+
+def test_common_and_rare_terms_add_up(spark, store):
+    docs = spark.range(60).selectExpr("concat('m', id) id", "concat('all word', id % 7) summary", "concat('all alone', id, ' half', id % 2) details")
+    index.build(store, docs, buckets=4)
+    queries = spark.createDataFrame([(1, "all half1 alone5"), (2, "a alone word3 nothing"), (3, "none")], "request_id long, query string")
+    for prefixes in (True, False):
+        got = [sorted(map(tuple, index.search(store, queries, prefixes, common=n).collect())) for n in (0, 3, 9, 10**6)]
+        assert got[0] and all(len(g) == len(got[0]) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-6 for a, b in zip(g, got[0])) for g in got)
+
+
+def test_memories_are_counted_without_an_exchange_of_tokens(spark):
+    """Texts are dealt once, and what is exchanged for a term is one row a memory and term, not one a request."""
+    docs = spark.range(20).selectExpr("cast(id as string) id", "'a b' summary", "'c d' details")
+    plan = index._placed(docs, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    matched = spark.createDataFrame([(1, "t", "s", 2, 1.0), (1, "t", "s", 2, 0.375), (2, "t", "s", 2, 1.0)], "request_id long, term string, f string, df long, weight double")
+    rows = index.packed(matched).collect()
+    assert len(rows) == 1 and sorted(map(tuple, rows[0].asked)) == [(1, 1.375), (2, 1.0)]
