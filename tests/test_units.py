@@ -222,3 +222,15 @@ def test_warnings_equal_a_plain_loop(spark):
         return ["content_length"] * (len(t) > 50_000) + ["non_printable"] * (odd * 2 > len(t) > 0) + ["repetitive"] * bool(re.search(r"(?s)(.{20,100}?)\1{9,}", t))
 
     assert {r.id: r.w for r in df.collect()} == {i: plain(t or "") for i, t in enumerate(texts)}
+
+
+def test_repetition_is_found_wherever_it_stands(spark):
+    """The test before the back reference leaves out no text that the back reference finds, and nearly all others."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdé😀 ") for _ in range(n))
+    texts = [word(rnd.randrange(230)) + word(p) * rnd.choice((9, 10, 10, 11)) + word(rnd.randrange(150)) for p in range(18, 103) for _ in range(6)]
+    df = spark.createDataFrame([(t,) for t in texts + [word(3000) for _ in range(50)]], "t string")
+    rows = df.select(F.col("t").rlike(r"(?s)(.{20,100}?)\1{9,}").alias("found"), scan._may_repeat(F.col("t")).alias("may"), scan.warnings(F.col("t")).alias("w")).collect()
+    assert any(r.found for r in rows) and all(r.may for r in rows if r.found)
+    assert [("repetitive" in r.w) for r in rows] == [r.found for r in rows]
+    assert sum(r.may for r in rows[-50:]) < 5
