@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import text
-from engram.operators import changes, evidence, lifecycle, retrieval, scan, selection
+from engram.operators import changes, evidence, index, lifecycle, retrieval, scan, selection
 from engram.sources import files
 from engram.sources.adapters import checkpointed
 
@@ -244,3 +244,13 @@ def test_clean_texts_are_not_searched_twice(spark):
     }
     plan = scan.scanned(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "_some" in plan
+
+
+def test_runs_of_sorted_tokens_are_term_counts(spark):
+    """Tokens are counted without a grouping."""
+    df = spark.createDataFrame([("a", "Red red blue", None), ("b", "", "z a-z zZ")], "id string, summary string, details string")
+    rows = index.tokens(df)
+    assert sorted((r.id, r.f, r.n, r.term or "", r.tf) for r in rows.collect()) == [
+        ("a", "d", 0, "", 0), ("a", "s", 3, "", 0), ("a", "s", 3, "blue", 1), ("a", "s", 3, "red", 2), ("b", "d", 5, "", 0), ("b", "d", 5, "a", 1), ("b", "d", 5, "z", 4), ("b", "s", 0, "", 0),
+    ]
+    assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
