@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,11 @@ def _matrix(vectors, dims: int) -> np.ndarray:
     return out
 
 
+def _rows(vectors: pa.Array, dims: int) -> np.ndarray:
+    """The matrix of an Arrow array of lists of ``dims`` doubles each, without a copy."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmax(x @ centroids.T - 0.5 * (centroids**2).sum(1), axis=1)
 
@@ -110,18 +116,23 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int, save: Callable[[DataFra
     state = save(state.select("*", F.lit(0).alias("at"), F.from_json(F.lit("[]"), best_kind).alias("best"), F.lit(0).cast("long").alias("compared")))
     directory = held.select("g", "chunk", "n")
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples():
-                score = np.round(_matrix(row.qvecs, dims) @ _matrix(row.vecs, dims).T, DIGITS)
-                ids = np.asarray(row.ids)
-                score[np.asarray(row.qids)[:, None] == ids[None, :]] = -np.inf
-                out: list[tuple] = []
-                for q, s in zip(row.qids, score, strict=True):
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                # One block at a time, its numbers read where they lie; a whole batch as pandas objects takes several times its size.
+                qids, qvecs, each, vecs = (batch.column(c)[i].values for c in ("qids", "qvecs", "ids", "vecs"))
+                score = np.round(_rows(qvecs, dims) @ _rows(vecs, dims).T, DIGITS)
+                asked, ids = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in (qids, each))
+                score[asked[:, None] == ids[None, :]] = -np.inf
+                whose, which, low = [], [], []
+                for q, s in enumerate(score):
                     least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
                     near = np.flatnonzero((s >= least) & (s > -np.inf))
-                    out += [(q, -s[i] + 0.0, ids[i]) for i in sorted(near, key=lambda i: (-s[i], ids[i]))[:k]]  # noqa: B023
-                yield pd.DataFrame(out, columns=["query_id", "low", "id"])
+                    best = sorted(near, key=lambda j: (-s[j], ids[j]))[:k]  # noqa: B023
+                    whose += [q] * len(best)
+                    which += best
+                    low += [-s[j] + 0.0 for j in best]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(whose, pa.int64())), pa.array(low, pa.float64()), each.take(pa.array(which, pa.int64()))], ["query_id", "low", "id"])
 
     width, reach = 1, 0
     while reach < len(known):
@@ -137,7 +148,7 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int, save: Callable[[DataFra
         packed = packed.groupBy("g", "part").agg(F.collect_list("query_id").alias("qids"), F.collect_list("vec").alias("qvecs"))
         sent = packed.join(directory, "g").drop("part", "n")
         pairs = sent.join(held.select("g", "chunk", "ids", "vecs"), ["g", "chunk"]).select("qids", "qvecs", "ids", "vecs")
-        found = pairs.mapInPandas(multiply, f"query_id {query_kind}, low double, id {id_kind}")
+        found = pairs.mapInArrow(multiply, f"query_id {query_kind}, low double, id {id_kind}")
         among = Window.partitionBy("query_id").orderBy("low", "id")
         found = found.withColumn("place", F.row_number().over(among)).where(F.col("place") <= k).groupBy("query_id").agg(F.collect_list(F.struct("low", "id")).alias("more"))
         seen = visit.join(directory.groupBy("g").agg(F.sum("n").alias("n")), "g").groupBy("query_id").agg(F.sum("n").alias("n"))
