@@ -1,7 +1,9 @@
-"""Near-duplicate documents: MinHash bands find pairs, the Jaccard similarity of the word shingles decides each.
+"""Near-duplicate documents: ball hashing and MinHash bands find pairs, the Jaccard similarity of the word shingles decides each.
 
 The shingle set of a text is the XXH64 of all runs of ``WORDS`` words of the A-Z-lower-cased text (one shingle where there are
-fewer words). A signature has ``BANDS`` keys of ``ROWS`` minima each; two texts of similarity s share a key with probability
+fewer words). The SimHash of a text's shingles, repeats included, goes through ball hashing (``simhash.links``): texts whose fingerprints
+differ in at most 3 bits come into one bucket, that of the fingerprint that they are tied to. Copies at a similarity near 0.8 differ in more
+bits, so each text is in the buckets of its bands, too. A signature has ``BANDS`` keys of ``ROWS`` minima each; two texts of similarity s share a key with probability
 1 - (1 - s^ROWS)^BANDS, which is 0.9994 at s = 0.8 and more above. Texts of equal words are one node throughout.
 
 No link goes unverified. Each bucket's members are first compared with its least node only, so a bucket of near copies costs
@@ -21,7 +23,8 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import columns_of, discard, masked, materialize, text_of
 from .components import components
-from .simhash import shingles
+from .simhash import links as ball_links
+from .simhash import majority, shingles
 
 WORDS = 5
 BANDS, ROWS = 32, 7
@@ -50,24 +53,27 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def marked_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with _uid (of the row), _node (of its words), _size (distinct shingles) and _keys (of the bands)."""
+    """``docs`` with _uid (of the row), _node (of its words), _size (distinct shingles), _fp (SimHash) and _keys (of the bands)."""
     held = docs.withColumn("_uid", F.monotonically_increasing_id())
-    schema = StructType([*held.schema.fields, StructField("_node", LongType()), StructField("_size", LongType()), StructField("_keys", ArrayType(LongType()))])
+    schema = StructType([*held.schema.fields, StructField("_node", LongType()), StructField("_size", LongType()), StructField("_fp", LongType()), StructField("_keys", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                batch, nodes, sizes, keys = whole.slice(at, 512), [], [], []
+                batch, nodes, sizes, fps, keys = whole.slice(at, 512), [], [], [], []
                 for t in batch.column("text"):
                     text = t.as_py() or ""
-                    own = np.unique(shingles(text, WORDS, SEED))
+                    hashes = shingles(text, WORDS, SEED)
+                    own = np.unique(hashes)
                     nodes.append(xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split()), SEED))
                     sizes.append(len(own))
+                    fps.append(majority(hashes))
                     keys.append(band_keys(own))
-                more = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_node", "_size", "_keys"])
+                signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
+                more = [signed(nodes), pa.array(sizes, pa.int64()), signed(fps), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_node", "_size", "_fp", "_keys"])
 
     return held.mapInArrow(run, schema)
 
@@ -97,8 +103,12 @@ def near_duplicate_groups(marked: DataFrame) -> DataFrame:
     nodes = materialize(marked.groupBy(F.col("_node").alias("node")).agg(best), "near-nodes")
     first = nodes.select(F.col("best._uid").alias("_uid"))
     one = marked.join(first, "_uid", "left_semi")
-    held = one.select(F.col("_node").alias("node"), F.col("_size").alias("size"), F.explode("_keys").alias("key"))
-    held = materialize(held, "near-keys")
+    prints = materialize(one.select(F.col("_node").alias("node"), F.col("_size").alias("size"), F.col("_fp").alias("fp")), "near-prints")
+    # Buckets are named by a fingerprint, which all its nodes have as a key, and those that ball hashing ties to it.
+    tied = ball_links(materialize(prints.select("fp").distinct(), "near-fps")).select(F.col("a").alias("fp"), F.col("b").alias("key"))
+    tied = prints.join(materialize(tied, "near-tied"), "fp").select("node", "size", "key")
+    held = one.select(F.col("_node").alias("node"), F.col("_size").alias("size"), F.explode(F.concat("_keys", F.array("_fp"))).alias("key"))
+    held = materialize(held.unionByName(tied), "near-keys")
     hubs = held.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
     shared = materialize(held.join(hubs.hint("merge"), "key"), "near-shared")
     texts = one.join(shared.select(F.col("node").alias("_node")).distinct(), "_node", "left_semi").select(F.col("_node").alias("node"), text_of().alias("text"))
@@ -118,7 +128,7 @@ def near_duplicate_groups(marked: DataFrame) -> DataFrame:
     rest = met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(verified(materialize(rest, "near-rest"), texts), "near-more")
     old, roots = roots, components(links.unionByName(more))
-    discard(held, shared, texts, tried, links, old, placed, more)
+    discard(prints, held, shared, texts, tried, links, old, placed, more)
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "best")
 
 

@@ -44,7 +44,11 @@ def shingles(text: str, words: int = 3, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """Majority bits of the XXH64 of all word shingles of the A-Z-lower-cased text; 0 without words."""
-    hashes = shingles(text, words, seed)
+    return majority(shingles(text, words, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of ``hashes`` have; 0 for none."""
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 8192):

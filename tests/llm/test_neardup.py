@@ -2,7 +2,7 @@
 
 import random
 
-from engram.llm import neardup
+from engram.llm import neardup, simhash
 from tests.llm.test_operators import AWKWARD, WORD, frame
 
 
@@ -44,6 +44,18 @@ def test_groups_equal_brute_force(spark):
     assert got == sorted({find(i) for i in range(len(texts))})
 
 
+def test_ball_hashing_finds_copies_without_bands(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(11)
+    base = " ".join(rnd.choices([f"v{i}" for i in range(400)], k=1500))
+    close = next(t for t in (_edited(rnd, base, 1) for _ in range(50)) if 0 < (simhash.fingerprint(t, 5) ^ simhash.fingerprint(base, 5)).bit_count() <= 3)
+    far = _edited(rnd, base, 700)
+    marked = neardup.marked_rows(frame(spark, [base, close, far])).withColumn("_keys", F.array().cast("array<bigint>"))
+    groups = neardup.near_duplicate_groups(marked).groupBy("root").agg(F.min("best.doc_id").alias("first")).collect()
+    assert sorted(r["first"] for r in groups) == [0, 2]
+
+
 def test_stages_keep_rows_without_or_with_shared_ids(spark):
     import corpus_pipeline
 
