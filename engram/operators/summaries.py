@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import Store
+from .ordered import Save
 
 #: Sizes of the slots and texts, the order of types, and when a session gets or keeps a summary.
 TYPES = ("workflow", "pitfall", "policy", "decision", "architecture_constraint")
@@ -40,22 +41,23 @@ def _list(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
 
 
-def summarise(events: DataFrame) -> DataFrame:
+def summarise(events: DataFrame, save: Save = lambda df: df) -> DataFrame:
     """(session_id, event_count, tools, topics, types, source_ids, short, medium) of each session of ``events``.
 
     ``events``: session_id, id, created_at, tool, type, topic, title, excerpt, salience, novelty, boost. Topics are counted without regard to
     case, by frequency and then by first appearance. Excerpts are the best by salience + novelty + boost, then the latest, without repeats; an empty one gives the
-    title. ``medium`` has as many whole lines as fit.
+    title. ``medium`` has as many whole lines as fit. Every slot reads the events; ``save`` keeps what they need of them, so types, topics and texts are
+    worked out once.
     """
-    e = events.withColumn("topic", _flat(F.col("topic"))).withColumn("tool", _flat(F.col("tool")))
+    text = F.when(_flat(F.col("excerpt")) != "", cut(_flat(F.col("excerpt")), SNIPPET)).otherwise(cut(_flat(F.col("title")), SNIPPET))
+    score = F.round(F.col("salience") + F.col("novelty") + F.col("boost"), 9)
+    e = save(events.select("session_id", "id", "created_at", _flat(F.col("tool")).alias("tool"), "type", _flat(F.col("topic")).alias("topic"), text.alias("text"), score.alias("score")))
     counted = e.groupBy("session_id").agg(F.count("*").alias("event_count"), *(F.sum((F.col("type") == t).cast("int")).alias(t) for t in TYPES))
     by_topic = e.where("topic <> ''").groupBy("session_id", F.lower("topic").alias("key")).agg(F.count("*").alias("n"), F.min(F.struct("created_at", "id", "topic")).alias("seen"))
     topics = _list(_first(by_topic, ["session_id"], [F.desc("n"), F.col("seen")], TOPICS).withColumn("topic", F.col("seen.topic")), "topic", "topics")
     tools = e.where("tool <> ''").select("session_id", "tool").distinct().groupBy("session_id").agg(F.array_sort(F.collect_list("tool")).alias("tools"))  # as many as there are tools
     latest = _list(_first(e, ["session_id"], [F.desc("created_at"), F.desc("id")], SOURCES), "id", "source_ids")
-    text = F.when(_flat(F.col("excerpt")) != "", cut(_flat(F.col("excerpt")), SNIPPET)).otherwise(cut(_flat(F.col("title")), SNIPPET))
-    score = F.round(F.col("salience") + F.col("novelty") + F.col("boost"), 9)
-    said = e.withColumn("text", text).where("text <> ''").groupBy("session_id", "type", "text").agg(F.max(F.struct(score.alias("score"), "created_at", "id")).alias("best"))
+    said = e.where("text <> ''").groupBy("session_id", "type", "text").agg(F.max(F.struct("score", "created_at", "id")).alias("best"))
     best = _first(said, ["session_id", "type"], [F.desc("best")], SNIPPETS).groupBy("session_id", "type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), " | ").alias("line"))
     lines = best.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("type", "line"))).alias("lines"))  # five types
     one = counted
@@ -87,9 +89,9 @@ def due(events: DataFrame, stored: DataFrame, as_of: Column) -> DataFrame:
     return events.join(many.join(fresh, "session_id", "left_anti"), "session_id", "left_semi")
 
 
-def refresh(store: Store, events: DataFrame, as_of: Column) -> int:
+def refresh(store: Store, events: DataFrame, as_of: Column, save: Save = lambda df: df) -> int:
     """The version in which all due sessions have a new summary; ``created_at`` stays, and a vector until there is a new one."""
     base = store.head()
     stored = store.read(SUMMARIES, base)
-    new = summarise(due(events, stored, as_of)).withColumn("vector", F.lit(None).cast(stored.schema["vector"].dataType)).withColumn("created_at", as_of).withColumn("updated_at", as_of)
+    new = summarise(due(events, stored, as_of), save).withColumn("vector", F.lit(None).cast(stored.schema["vector"].dataType)).withColumn("created_at", as_of).withColumn("updated_at", as_of)
     return store.upsert(SUMMARIES, new.select(*stored.columns), keep=("created_at",), fill=("vector",), base=base)

@@ -4,6 +4,8 @@ import datetime as dt
 import random
 import re
 
+import pytest
+
 from engram.operators import resampling, summaries
 from engram.plans.catalog import QUERIES
 
@@ -93,3 +95,10 @@ def test_summaries(spark):
     for r in rows:
         by.setdefault(r[0], []).append(dict(zip(names, r, strict=True)))
     assert sorted(map(tuple, got)) == [plain_summary(s, by[s]) for s in sorted(by)]
+
+
+@pytest.mark.parametrize("name", ["session_summary_texts", "materialize_candidates", "event_end_state"])
+def test_events_are_read_from_what_was_saved(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # event_end_state reads all events once more, for the noise that it discards.
+    assert plan.count("get_json_object(props") <= (name == "event_end_state")
