@@ -27,7 +27,8 @@ def term_hashes(text: Column) -> Column:
 def lexicon(docs: DataFrame, low: float = 0.005, high: float = 0.1) -> DataFrame:
     """Terms of ``docs`` whose document frequency is in [low, high] of all distinct texts and at least 2: one row, one array."""
     text = text_of()
-    docs = docs.groupBy(F.xxhash64(text)).agg(F.first(text).alias("text"))  # copies say nothing about how common a term is
+    # Copies say nothing about how common a term is. Each word goes through the exchange once a text, not as often as the text has it.
+    docs = docs.groupBy(F.xxhash64(text)).agg(F.first(F.array_join(F.array_sort(F.array_distinct(words(F.lower(text)))), " ")).alias("text"))
     found = docs.select(F.explode(F.array_distinct(term_hashes(text_of()))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
     kept = found.crossJoin(F.broadcast(total)).where((F.col("df") >= 2) & (F.col("df") >= F.col("n") * low) & (F.col("df") <= F.col("n") * high))

@@ -81,3 +81,10 @@ def test_likeness_of_all_neighbours(spark):
         for mine, theirs, value in ((r.fingerprint, r.edited_fingerprint, r.near_edited), (r.fingerprint, nxt.fingerprint, r.near_next)):
             used = [(a, b) for a, b in zip(mine.split("."), theirs.split("."), strict=True) if (a, b) != ("-", "-")]
             assert value == (sum(a == b for a, b in used) / len(used) if used else 1.0)
+
+
+def test_lexicon_exchanges_a_word_once_a_text(spark):
+    docs = spark.createDataFrame([(0, "A b a"), (1, "a B b"), (2, "a  b b b"), (3, "A b a")], "doc_id long, text string")
+    found = imatch.lexicon(docs, 0.0, 1.0)
+    assert "first(array_join(array_sort(array_distinct(" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(found.first().terms) == 2
