@@ -3,47 +3,57 @@
 A line is the set of its words. It goes if an earlier line (ascending doc_id, then place in the text) has a set with Jaccard
 similarity of at least ``near[0] / near[1]``. Lines with the same set are settled by grouping; what is left is joined:
 
-* rarity: the words of the whole corpus are counted in ``CELLS`` cells by their hash, and a line's words are ordered by the
+* rarity: the words of the whole corpus are counted in cells by their hash, and a line's words are ordered by the
   class of their cell (twice the binary logarithm of its count), then by hash. Any fixed order gives exact results; this one
   makes the first words rare.
 * prefix filter: two similar sets have one of their first floor(n (1 - t)) + 1 words in common. Rows of the join carry these words, so
-  a pair comes out of it once, at the first word that both have.
+  two similar sets meet there at least once. The rows carry a size, a place and a sketch, never the prefix itself.
 * length and positional filters: sizes must allow the similarity, and so must what follows the common word.
-* suffix bound: tokens that are common and stand in both prefixes are counted; all other common words stand behind the prefix that
-  ends first, so the overlap is at most that count and what is left behind it.
+* suffix bound: the words that a pair meets at stand in both prefixes; all other common words stand behind the prefix that
+  ends first, so the overlap is at most their number and what is left behind it.
 * bitmap filter: each set has a 128-bit parity sketch of its words; where two sketches differ in more bits than similar sets
   could differ in words, the pair is dropped. It never drops a similar pair.
 * verification: the Jaccard similarity of the whole lines, read again from the documents. One similar earlier line is enough, so
   the most promising pair of each set is tried first and the others only if it fails.
 
-Groups of many similar lines aren't listed pair by pair. First each set meets the earliest and the most frequent set that share two
-neighbouring prefix words with it; sets that are similar to one of these are settled. What is left tries more words and more hubs, chosen by hash. Only the others meet all sets with a common prefix word, and
-only pairs that pass all filters leave the join. That join is done in ``SLICES`` parts of the words, so its shuffles never hold
+Groups of many similar lines aren't listed pair by pair. Sets of which at least ``CROWD`` share one of two pairs of neighbouring prefix words, chosen by
+hash, first meet hubs: of all such sets that share a pair of neighbouring prefix words the earliest, the most frequent, and some chosen by hash. Sets
+that are similar to one of these are settled. Only the others meet all sets with a common prefix word, and only pairs that pass
+all filters leave the join. That join is done in ``SLICES`` parts of the words, so its shuffles never hold
 more than a part of the prefixes at once, and tables are deleted once nothing reads them.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, discard, fresh, materialize, read, text_of
+from .common import columns_of, discard, fresh, materialize, read, small, text_of
 
 #: Cells of the word counts: a byte each where words are ordered, and at most so many small rows to the driver, at any corpus size.
-CELL_BITS = 20
+CELL_BITS = 18
 NEAR = (4, 5)
-SLICES = 8
-#: Rounds of settling: pairs of neighbouring prefix words that a set is settled by, and seeds of further hubs of each pair.
-SETTLING = ((2, ()), (6, (1, 2, 3, 4, 5, 6)))
+SLICES = 3
+#: Sets that share one of so many pairs of neighbouring prefix words with at least CROWD sets meet hubs first.
+CROWD, CROWD_PAIRS = 16, 2
+#: Pairs of neighbouring prefix words that a set is settled by, and seeds of further hubs of each pair.
+HUB_PAIRS, HUB_SEEDS = 6, (1, 2, 3, 4, 5, 6)
 #: The mark of settled sets.
 SETTLED = 1 << 62
 BLANK = " \t\n\v\f\r"
+
+
+def _odd(text: Column) -> Column:
+    return text.contains("\t") | text.contains("\v") | text.contains("\f") | text.contains("\r")
+
+
 def _spaced(text: Column) -> Column:
     """``text`` with all ASCII white space as spaces, as splitting at one plain character is much cheaper than at a pattern."""
-    odd = text.contains("\t") | text.contains("\v") | text.contains("\f") | text.contains("\r")
-    return F.when(odd, F.translate(text, BLANK[1:], "     ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
+    return F.when(_odd(text), F.translate(text, BLANK[1:], "     ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
 
 
 def _cell(h: Column) -> Column:
@@ -54,10 +64,9 @@ def rarity_classes(docs: DataFrame) -> Column:
     """An array of the class of each cell: twice the binary logarithm of how many words of ``docs`` (text) fell in it."""
     found = docs.select(F.explode(F.split(_spaced(F.col("text")), " ")).alias("w")).where("w <> ''").select(_cell(F.xxhash64("w")).alias("cell")).groupBy("cell")
     table = found.agg(F.least(F.lit(63), F.floor(2 * F.log2(F.count("*") + 1))).cast("int").alias("kind")).toArrow()
-    classes = [0] * (1 << CELL_BITS)
-    for cell, kind in zip(table.column("cell").to_pylist(), table.column("kind").to_pylist(), strict=True):
-        classes[cell] = kind
-    return F.from_json(F.lit(str(classes)), "array<tinyint>")
+    classes = np.zeros(1 << CELL_BITS, np.int8)
+    classes[table.column("cell").to_numpy()] = table.column("kind").to_numpy()
+    return F.from_json(F.lit(json.dumps(classes.tolist(), separators=(",", ":"))), "array<tinyint>")
 
 
 def _line_sets(held: DataFrame, near: tuple[int, int]) -> DataFrame:
@@ -97,20 +106,19 @@ def _alike(a: str, b: str, n: Column, m: Column, near: tuple[int, int]) -> Colum
 
 
 def _meetings(group: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """(later, earlier, differ) of the pairs that share a prefix word of ``group`` and pass all filters, each at its first common prefix word only.
+    """(later, earlier, differ, least) of the pairs that share a prefix word of ``group`` and pass the filters, a row for each such word. Similar pairs have ``least`` rows or more.
 
     The mark of a settled set stays in its size as the later one, so it fails the length filter. (A filter of that side alone
     would go below the exchange, and both sides would be shuffled instead of one.)
     """
     num, den = near
     (n, at), (m, to) = _unpacked(F.col("a.shape")), _unpacked(F.col("b.shape").bitwiseAND(F.lit(SETTLED - 1)))
-    need = lambda most: most * (num + den) >= (n + m) * num  # noqa: E731  whether so many common words are enough
-    common = F.array_intersect("a.prefix", "b.prefix")
-    behind = lambda c: c - F.floor(c * (den - num) / den) - 1
-    on = _alike("a", "b", n, m, near) & need(F.least(at, to) + F.least(n - at, m - to))
-    on = on & (F.get(common, F.lit(0)) == F.col("a.word")) & need(F.size(common) + F.greatest(behind(n), behind(m)))
+    most = F.least(at, to) + F.least(n - at, m - to)  # common words, at most
+    on = _alike("a", "b", n, m, near) & (most * (num + den) >= (n + m) * num)
     both = group.alias("a").join(group.alias("b").hint("merge"), on)
-    return both.select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), _differ("a", "b").alias("differ"))
+    behind = lambda c: c - F.floor(c * (den - num) / den) - 1  # noqa: E731  words behind the prefix
+    least = F.ceil((n + m) * num / (num + den)) - F.greatest(behind(n), behind(m))
+    return both.select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), _differ("a", "b").alias("differ"), least.alias("least"))
 
 
 def _texts(held: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -153,21 +161,32 @@ def _settled(held: DataFrame, sets: DataFrame, pairs: DataFrame, near: tuple[int
     return found.unionByName(more)
 
 
-def _hub_pairs(able: DataFrame, todo: DataFrame, keys: int, seeds: tuple[int, ...], near: tuple[int, int]) -> DataFrame:
-    """Pairs of the sets ``todo`` with hubs: of all sets that share a pair of neighbouring prefix words, the earliest, the most frequent, and one for each seed."""
-    neighbours = F.transform(F.sequence(F.lit(1), F.greatest(F.size("prefix") - 1, F.lit(1))), lambda i: F.xxhash64(F.slice("prefix", i, 2)))
-    settling = F.explode(F.slice(F.sort_array(F.array_distinct(neighbours)), 1, keys)).alias("word")
-    own = able.select("id", "n", "sketch", "sketch2", "key", "times", settling)
+def _neighbours(keys: int) -> Column:
+    """A row for each of the ``keys`` pairs of neighbouring prefix words that have the least hashes."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("prefix") - 1, F.lit(1))), lambda i: F.xxhash64(F.slice("prefix", i, 2)))
+    return F.explode(F.slice(F.sort_array(F.array_distinct(pairs)), 1, keys)).alias("word")
+
+
+def _crowded(able: DataFrame) -> DataFrame:
+    """The sets that share one of ``CROWD_PAIRS`` pairs of neighbouring prefix words with at least ``CROWD`` sets, themselves included."""
+    held = materialize(able.select("id", _neighbours(CROWD_PAIRS)), "line-neighbours")
+    words = held.groupBy("word").count().where(F.col("count") >= CROWD).select("word")
+    ids = materialize(held.join(words, "word", "left_semi").select("id").distinct(), "line-crowd")
+    found = able.join(small(ids), "id", "left_semi")
+    found = materialize(found.select("id", "n", "sketch", "sketch2", "key", "times", _neighbours(HUB_PAIRS)), "line-crowded")
+    discard(held, ids)
+    return found
+
+
+def _hub_pairs(own: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """Pairs of the sets ``own`` (a row for each of their pairs of neighbouring words) with hubs: of all that share such a pair, the earliest, the most frequent, and one for each seed."""
     fields = ("key", "id", "n", "sketch", "sketch2")
     some = [F.min(F.struct(*fields)).alias("hub0"), F.max(F.struct("times", (-F.col("key")).alias("least"), *fields)).alias("hub1")]
-    some += [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("rank"), *fields)).alias(f"hub{k + 1}") for k in seeds]
+    some += [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("rank"), *fields)).alias(f"hub{k + 1}") for k in HUB_SEEDS]
     hubs = own.groupBy("word").agg(F.count("*").alias("rows"), *some).where("rows > 1")
-    each = F.array_distinct(F.array(*(F.struct(*(F.col(f"hub{k}.{c}").alias(c) for c in fields)) for k in range(2 + len(seeds)))))
-    hubs = materialize(hubs.select("word", F.explode(each).alias("hub")).select("word", "hub.*"), "line-hubs")
-    mine = own if todo is able else todo.select("id", "n", "sketch", "sketch2", "key", settling)
-    pairs = materialize(_pairs(mine, hubs, _alike("a", "b", F.col("a.n"), F.col("b.n"), near)), "line-pairs")
-    discard(hubs)
-    return pairs
+    each = F.array_distinct(F.array(*(F.struct(*(F.col(f"hub{k}.{c}").alias(c) for c in fields)) for k in range(2 + len(HUB_SEEDS)))))
+    hubs = hubs.select("word", F.explode(each).alias("hub")).select("word", "hub.*")
+    return materialize(_pairs(own, hubs, _alike("a", "b", F.col("a.n"), F.col("b.n"), near)), "line-pairs")
 
 
 def matched_sets(held: DataFrame, sets: DataFrame, near: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -175,22 +194,21 @@ def matched_sets(held: DataFrame, sets: DataFrame, near: tuple[int, int]) -> tup
     num, den = near
     able = sets.where(F.col("n") * num >= (den - num) * den - den + num + 1)
     places = materialize(sets.select("id", "times", "key", "row", "line_no"), "line-places")
-    settled = None
-    for keys, seeds in SETTLING:
-        todo = able if settled is None else able.join(settled, "id", "left_anti")
-        found = _settled(held, places, _hub_pairs(able, todo, keys, seeds, near), near)
-        settled = found if settled is None else settled.unionByName(found)
+    crowded = _crowded(able)
+    settled = _settled(held, places, _hub_pairs(crowded, near), near)
+    discard(crowded)
     mark = F.when(F.col("done"), F.lit(SETTLED)).otherwise(F.lit(0))
     rest = able.join(settled.withColumn("done", F.lit(True)), "id", "left")
     rest = materialize(rest.select("id", "sketch", "sketch2", "key", "prefix", (F.shiftleft(F.col("n").cast("long"), 24) + mark).alias("shape")), "line-prefixes")
     discard(sets)
     second = []
     for part in range(SLICES):
-        group = rest.select("id", "sketch", "sketch2", "key", "shape", "prefix", F.posexplode("prefix").alias("at", "word")).where(F.pmod("word", F.lit(SLICES)) == part)
-        group = group.select("word", "id", "sketch", "sketch2", "key", "prefix", (F.col("shape") + F.col("at")).alias("shape"))
+        group = rest.select("id", "sketch", "sketch2", "key", "shape", F.posexplode("prefix").alias("at", "word")).where(F.pmod("word", F.lit(SLICES)) == part)
+        group = group.select("word", "id", "sketch", "sketch2", "key", (F.col("shape") + F.col("at")).alias("shape"))
         second.append(materialize(_meetings(group, near), "line-meetings"))
     discard(rest)
-    listed = materialize(reduce(DataFrame.unionByName, second), "line-pairs")
+    met = reduce(DataFrame.unionByName, second).groupBy("later", "earlier").agg(F.min("differ").alias("differ"), F.min("least").alias("least"), F.count("*").alias("words"))
+    listed = materialize(met.where("words >= least").drop("least", "words"), "line-pairs")
     discard(*second)
     return settled.unionByName(_settled(held, places, listed, near)), places
 
@@ -218,7 +236,8 @@ def dedup_lines(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     removed = lines.select("id", "row", "line_no").join(judged, "id").where("gone or row != row0 or line_no != line0")
     removed = materialize(removed.groupBy("row").agg(F.collect_set("line_no").alias(removed_lines)).withColumnRenamed("row", row), "line-removed")
     discard(lines, sets, matched)
-    counted = F.size(F.filter(F.split(text_of(), "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")).cast("long")
+    solid = F.when(_odd(text_of()), F.translate(text_of(), BLANK.replace("\n", ""), "")).otherwise(F.replace(text_of(), F.lit(" "), F.lit("")))
+    counted = F.size(F.array_remove(F.split(solid, "\n"), "")).cast("long")
     other = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     full = docs.select(*columns_of(other), F.xxhash64("doc_id", text_of()).alias(row)).join(removed, row, "left")
     gone = F.col(removed_lines)

@@ -164,6 +164,34 @@ def test_lines(spark):
         assert r.n_removed == sum(i == r.doc_id for i, _ in gone) and (r.text or "") == "\n".join(kept)
 
 
+def test_line_crowds_and_tables(spark, monkeypatch):
+    """Crowds of near copies are settled by hubs without loss, and the join writes few tables."""
+    rnd, tables, real = random.Random(5), [], linededup.materialize
+
+    def noted(df, name):
+        out = real(df, name)
+        tables.append((name, out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(linededup, "CROWD", 4)
+    monkeypatch.setattr(linededup, "materialize", noted)
+    texts = []
+    for length in (6, 12, 30, 150):
+        base = [f"w{length}x{k}" for k in range(length)]
+        for _ in range(14):
+            words = [f"z{rnd.randrange(40)}" if rnd.random() < 0.12 else w for w in base]
+            rnd.shuffle(words)
+            texts.append(" ".join(words) + "\n\t\n" + " ".join(rnd.choices(base, k=length)))
+    lines = [(i, k, frozenset(WORD.findall(x))) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if x[2]]
+    gone = {(i, k) for n, (i, k, a) in enumerate(lines) if any(5 * len(a & b) >= 4 * len(a | b) for _, _, b in lines[:n])}
+    got = linededup.dedup_lines(frame(spark, texts).select("doc_id", "text")).collect()
+    assert gone and {r.doc_id: (r.n_lines, r.text) for r in got} == {
+        i: (2, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in enumerate(texts)
+    }
+    assert len(tables) <= 24 and any(name == "line-crowded" and n for name, _, n in tables)
+
+
 def test_ppm(spark):
     texts = [*AWKWARD, *random_texts(7, 80)]
     rows = {r.doc_id: r for r in ppm.score(frame(spark, texts), F.col("doc_id") % 7 != 2, least=0.0).collect()}
