@@ -1,8 +1,11 @@
 """Versioned tables and the stored index."""
 
+import os
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from engram.operators import hybrid, index
 from engram.sources import adapters
@@ -128,3 +131,52 @@ def test_memories_are_counted_without_an_exchange_of_tokens(spark):
     matched = spark.createDataFrame([(1, "t", "s", 2, 1.0), (1, "t", "s", 2, 0.375), (2, "t", "s", 2, 1.0)], "request_id long, term string, f string, df long, weight double")
     rows = index.packed(matched).collect()
     assert len(rows) == 1 and sorted(map(tuple, rows[0].asked)) == [(1, 1.375), (2, 1.0)]
+
+
+def test_the_best_are_those_of_the_whole_search(spark, store):
+    """Words that several queries share are searched once and memories are taken in groups; the result is the search's."""
+    docs = spark.range(90).selectExpr("concat('m', lpad(id, 3, '0')) id", "concat('all word', id % 7) summary", "concat('all alone', id, ' half', id % 2, repeat(' half0', cast(id % 5 as int))) details")
+    index.build(store, docs, buckets=8)
+    index.update(store, docs.where("id < 'm009'").withColumn("summary", F.lit("all other")), docs.where("id > 'm080'").select("id"))
+    queries = spark.createDataFrame([(1, "all half1 alone5"), (2, "a alone word3 nothing"), (3, "none"), (4, "all half a")], "request_id long, query string")
+    for prefixes in (True, False):
+        every = {}
+        for r in index.search(store, queries, prefixes).collect():
+            every.setdefault(r.request_id, []).append((-r.score, r.id))
+        want = sorted((q, i, -s) for q, rows in every.items() for s, i in sorted(rows)[:4])
+        for common, groups in ((0, 3), (5, 8), (10**6, 1)):
+            got = rows_of(index.best(store, queries, 4, prefixes, save=adapters.stored, common=common, groups=groups).select("request_id", "id", "score"))
+            assert [r[:2] for r in got] == [r[:2] for r in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want))
+
+
+def exchanged(spark, did) -> float:
+    """Bytes that the shuffles of ``did`` have written."""
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        known = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(known.apply(i).totalShuffleWrite() for i in range(known.size()))
+
+    before = written()
+    did()
+    return written() - before
+
+
+def test_an_update_exchanges_only_what_is_new(spark, store):
+    """Rows that stay are written from where they are; the tables aren't dealt anew."""
+    docs = spark.range(3000).selectExpr("concat('m', id) id", "concat('word', id % 50) summary", "array_join(transform(sequence(1, 40), i -> concat('w', (id * 31 + i * 17) % 997)), ' ') details")
+    built = exchanged(spark, lambda: index.build(store, docs, buckets=8))
+    new = docs.where("id in ('m1', 'm2', 'm3')")
+    assert exchanged(spark, lambda: index.update(store, new, docs.where("id = 'm4'").select("id"))) < built / 4
+
+
+def test_shuffle_files_go_as_tables_are_written(spark, store):
+    rows = spark.range(200_000).selectExpr("cast(id as string) id", "id as n")
+    blocks = lambda: sum(f.startswith("shuffle_") for _, _, files in os.walk(spark.conf.get("spark.local.dir")) for f in files)
+    before = blocks()
+    staged = store.stage("t", rows, ("id",), 8, rounds=2)
+    until = time.time() + 20  # files go in the background
+    while blocks() > before and time.time() < until:
+        time.sleep(0.2)
+    assert blocks() <= before
+    assert sorted(staged.folders) == list(range(8)) and store.staged_rows(staged).count() == 200_000
