@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.operators import hybrid, index
+from engram.plans import indexes
+from engram.plans.catalog import QUERIES, SQL
 from engram.sources import adapters
 from engram.sources.store import Conflict
 
@@ -180,3 +182,14 @@ def test_shuffle_files_go_as_tables_are_written(spark, store):
         time.sleep(0.2)
     assert blocks() <= before
     assert sorted(staged.folders) == list(range(8)) and store.staged_rows(staged).count() == 200_000
+
+
+def test_index_search_asks_every_text_of_benchmark(spark):
+    """All texts are asked, not one of twenty; its SQL has no such cut, the other queries' keep theirs."""
+    sf = "/root/testdata/sf0.001"
+    asked = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()}
+    got = {r.request_id for r in indexes._queries(spark, sf).collect()}
+    assert got == asked and len(asked) == 40
+    assert indexes.SOME not in SQL["index_search"] and all(indexes.SOME in SQL[n] for n in ("index_update", "bm25_topk"))
+    rows = [r.query_id for r in QUERIES["index_search"](spark, sf).collect()]
+    assert len(set(rows)) > 2 and max(rows.count(q) for q in set(rows)) <= 10
